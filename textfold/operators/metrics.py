@@ -45,18 +45,24 @@ def batch_bce(df: DataFrame, logit: str, label: str, bs: int, order_key: str, ke
     return per.groupBy(*by).agg(F.sqrt(F.sum(F.col("__s") * F.col("__n")) / F.sum("__n")).alias("batch_bce"))
 
 
+def oof_rows(pred: DataFrame, truth: DataFrame, label: str = "label", key: str = "row_id",
+             fold_col: str = "kfold") -> DataFrame:
+    """Keep each row's prediction from the model of its own (held-out) fold, with its label."""
+    t = truth.select(key, fold_col, label)
+    return pred.join(t, [key]).filter(F.col("fold") == F.col(fold_col)).drop(fold_col)
+
+
 def oof_accuracy(pred: DataFrame, truth: DataFrame, label: str = "label", key: str = "row_id",
-                 fold_col: str = "kfold") -> DataFrame:
+                 fold_col: str = "kfold", by: Sequence[str] = ("model",)) -> DataFrame:
     """H5: out-of-fold accuracy per fold: each row scored by the model of its own fold."""
-    t = truth.select(key, fold_col, label)
-    j = pred.join(t, [key]).filter(F.col("fold") == F.col(fold_col))
+    j = oof_rows(pred, truth, label, key, fold_col)
     hit = (decide(F.col("logit")) == F.col(label).cast("int")).cast("int")
-    return j.groupBy("fold").agg(F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("n_rows"))
+    return j.groupBy(*by, "fold").agg(F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def cv_summary(scores: DataFrame, metric: str, fold_col: str = "fold") -> DataFrame:
+def cv_summary(scores: DataFrame, metric: str, fold_col: str = "fold", by: Sequence[str] = ()) -> DataFrame:
     """H6: mean of fold scores, with the scores in fold order."""
-    return scores.agg(F.avg(metric).alias(f"mean_{metric}"),
+    return scores.groupBy(*by).agg(F.avg(metric).alias(f"mean_{metric}"),
                       F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(fold_col, metric))),
                                                lambda s: F.format_number(s[metric], 6)), ",").alias("per_fold"),
                       F.count(F.lit(1)).alias("n_folds"))

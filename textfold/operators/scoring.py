@@ -118,9 +118,9 @@ def fit_token_weights(train: DataFrame, tokens_col: str, label: str, vocab: Data
         tok_w = F.log((F.col("c1") + 1) / (F.col("n1") + 2)) - F.log((F.col("c0") + 1) / (F.col("n0") + 2))
         g = g.join(F.broadcast(n_tab), "fold")
     else:
-        sums = g.groupBy("fold").agg(F.sum("c0").alias("N0"), F.sum("c1").alias("N1"))
+        sums = g.groupBy("fold").agg(F.sum("c0").alias("tok0"), F.sum("c1").alias("tok1"))
         g = g.join(sums, "fold").join(F.broadcast(n_tab), "fold")
-        tok_w = F.log((F.col("c1") + 1) / (F.col("N1") + vsize)) - F.log((F.col("c0") + 1) / (F.col("N0") + vsize))
+        tok_w = F.log((F.col("c1") + 1) / (F.col("tok1") + vsize)) - F.log((F.col("c0") + 1) / (F.col("tok0") + vsize))
     weights = g.select(F.lit(model).alias("model"), F.col("fold").cast("int").alias("fold"), "token",
                        F.round(tok_w * SCALE).cast("bigint").alias("w"))
     bias = n_tab.select(F.lit(model).alias("model"), F.col("fold").cast("int").alias("fold"),

@@ -138,7 +138,8 @@ def special_mask(ids: Column, specials=(PAD_ID, UNK_ID, CLS_ID, SEP_ID, MASK_ID)
 
 
 def mlm_mask(df: DataFrame, ids_col: str, seed: int, epoch: int, vocab_len: int,
-             p: float = 0.15, key: str = "row_id", specials=(PAD_ID, CLS_ID, SEP_ID)) -> DataFrame:
+             p: float = 0.15, key: str = "row_id",
+             specials=(PAD_ID, UNK_ID, CLS_ID, SEP_ID, MASK_ID)) -> DataFrame:
     """masked-LM inputs and labels, redrawn per epoch, a pure function of (seed, epoch, row, position).
 
     One md5 per position gives four 32-bit uniforms: selection (< p), replacement
