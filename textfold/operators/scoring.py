@@ -76,54 +76,86 @@ def model_family(path: Column) -> Column:
              .otherwise(F.lit("other")))
 
 
-def _class_stats(train: DataFrame, tokens_col: str, label: str, vocab: DataFrame, key: str,
-                 fold_col: str, presence: bool) -> DataFrame:
-    t = train.select(key, fold_col, label, F.explode(
-        F.array_distinct(tokens_col) if presence else F.col(tokens_col)).alias("token"))
-    t = t.join(F.broadcast(vocab.select("token")), "token")
-    return t.groupBy(fold_col, label, "token").agg(F.count(F.lit(1)).alias("c"))
+def class_token_stats(train: DataFrame, tokens_col: str, label: str, vocab: DataFrame,
+                      fold_col: str = "kfold") -> DataFrame:
+    """Sufficient statistics for every fold at once, in one pass and one shuffle:
+    ``(kfold, label, token, c, d)`` = token occurrences and documents containing it."""
+    base = train.select(fold_col, label, tokens_col)
+    occ = base.select(fold_col, label, F.explode(tokens_col).alias("token"),
+                      F.lit(1).alias("__c"), F.lit(0).alias("__d"))
+    pres = base.select(fold_col, label, F.explode(F.array_distinct(tokens_col)).alias("token"),
+                       F.lit(0).alias("__c"), F.lit(1).alias("__d"))
+    # The bias pseudo-token counts documents: d(bias) = documents per (fold, class).
+    docs = base.select(fold_col, label, F.lit(BIAS_TOKEN).alias("token"), F.lit(0).alias("__c"), F.lit(1).alias("__d"))
+    known = vocab.select("token").unionByName(vocab.sparkSession.createDataFrame([(BIAS_TOKEN,)], "token string"))
+    both = occ.unionByName(pres).join(F.broadcast(known), "token").unionByName(docs)
+    return both.groupBy(fold_col, label, "token").agg(F.sum("__c").alias("c"), F.sum("__d").alias("d"))
+
+
+def _round_half_away(x):
+    import numpy as np
+
+    return (np.sign(x) * np.floor(np.abs(x) + 0.5)).astype("int64")
 
 
 def fit_token_weights(train: DataFrame, tokens_col: str, label: str, vocab: DataFrame, k: int = 5,
-                      model: str = "nb", key: str = "row_id", fold_col: str = "kfold") -> DataFrame:
+                      models=("nb", "presence"), key: str = "row_id", fold_col: str = "kfold",
+                      max_vocab: int = 1_000_000) -> DataFrame:
     """I1 (re-aimed): per-fold log-ratio token weights for a 0/1 label, fitted on ``kfold <> f``.
 
-    ``model='nb'``: multinomial naive Bayes with add-one smoothing over the vocabulary,
-    ``w = ln((c1+1)/(N1+V)) - ln((c0+1)/(N0+V))``, bias ``ln(n1/n0)`` (documents).
-    ``model='presence'``: document frequencies, ``w = ln((d1+1)/(n1+2)) - ln((d0+1)/(n0+2))``.
-    Weights are rounded to integer milli-units. Output ``model, fold, token, w`` (bias token included).
+    ``nb``: multinomial naive Bayes with add-one smoothing over the vocabulary,
+    ``w = ln((c1+1)/(N1+V)) - ln((c0+1)/(N0+V))``. ``presence``: document frequencies,
+    ``w = ln((d1+1)/(n1+2)) - ln((d0+1)/(n0+2))``. Bias ``ln(n1/n0)`` (training documents).
+    Weights are rounded (half away from zero) to integer milli-units.
+
+    As in Spark ML's naive Bayes, the sufficient statistics are aggregated on the
+    executors in one pass; the small per-(fold, class, token) table (checked: at
+    most 2 x k x V rows) is finished on the driver and returned as a local
+    relation of at most (V+1) x k x models rows, ready to broadcast.
     """
-    presence = model == "presence"
-    stats = _class_stats(train, tokens_col, label, vocab, key, fold_col, presence)
-    docs = train.groupBy(fold_col, label).agg(F.count(F.lit(1)).alias("n"))
-    folds = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold")
-    # Per-fold training totals = all folds minus the held-out fold.
-    v = vocab.select("token")
-    grid = v.select("token", folds)
-    tot = stats.groupBy("token").pivot(label, [0, 1]).agg(F.sum("c")).na.fill(0)
-    own = stats.groupBy(fold_col, "token").pivot(label, [0, 1]).agg(F.sum("c")).na.fill(0)
-    g = (grid.join(tot.withColumnRenamed("0", "t0").withColumnRenamed("1", "t1"), "token", "left")
-             .join(own.withColumnRenamed("0", "o0").withColumnRenamed("1", "o1")
-                      .withColumnRenamed(fold_col, "fold"), ["fold", "token"], "left")
-             .na.fill(0, ["t0", "t1", "o0", "o1"])
-             .withColumn("c0", F.col("t0") - F.col("o0")).withColumn("c1", F.col("t1") - F.col("o1")))
-    dtot = docs.groupBy().pivot(label, [0, 1]).agg(F.sum("n")).na.fill(0)
-    dfold = docs.withColumnRenamed(fold_col, "fold").groupBy("fold").pivot(label, [0, 1]).agg(F.sum("n")).na.fill(0)
-    n_tab = (dfold.withColumnRenamed("0", "f0").withColumnRenamed("1", "f1")
-             .withColumn("n0", F.lit(dtot.select("0").scalar()) - F.col("f0"))
-             .withColumn("n1", F.lit(dtot.select("1").scalar()) - F.col("f1"))
-             .select("fold", "n0", "n1"))
-    vsize = v.select(F.count(F.lit(1))).scalar()
-    if presence:
-        tok_w = F.log((F.col("c1") + 1) / (F.col("n1") + 2)) - F.log((F.col("c0") + 1) / (F.col("n0") + 2))
-        g = g.join(F.broadcast(n_tab), "fold")
-    else:
-        sums = g.groupBy("fold").agg(F.sum("c0").alias("tok0"), F.sum("c1").alias("tok1"))
-        g = g.join(sums, "fold").join(F.broadcast(n_tab), "fold")
-        tok_w = F.log((F.col("c1") + 1) / (F.col("tok1") + vsize)) - F.log((F.col("c0") + 1) / (F.col("tok0") + vsize))
-    weights = g.select(F.lit(model).alias("model"), F.col("fold").cast("int").alias("fold"), "token",
-                       F.round(tok_w * SCALE).cast("bigint").alias("w"))
-    bias = n_tab.select(F.lit(model).alias("model"), F.col("fold").cast("int").alias("fold"),
-                        F.lit(BIAS_TOKEN).alias("token"),
-                        F.round(F.log(F.col("n1") / F.col("n0")) * SCALE).cast("bigint").alias("w"))
-    return weights.unionByName(bias)
+    import numpy as np
+    import pandas as pd
+
+    from ..plans.local import to_local
+
+    spark = train.sparkSession
+    v = to_local(vocab.select("token"), max_vocab)
+    vocab_pd = v.toPandas()
+    n_vocab = len(vocab_pd)
+    stats = class_token_stats(train, tokens_col, label, v, fold_col)
+    st_all = to_local(stats, 2 * k * (max_vocab + 1)).toPandas()
+    dn = st_all[st_all["token"] == BIAS_TOKEN].rename(columns={"d": "n"})
+    st = st_all[st_all["token"] != BIAS_TOKEN]
+    tokens = vocab_pd["token"].to_numpy()
+    idx = {t: i for i, t in enumerate(tokens)}
+    # counts[m][y] : array (k, V) of per-fold totals; training share = total - own fold.
+    arr = {}
+    for m in ("c", "d"):
+        for y in (0, 1):
+            a = np.zeros((k, n_vocab), dtype=np.int64)
+            sub = st[st[label] == y]
+            a[sub[fold_col].to_numpy(), sub["token"].map(idx).to_numpy()] = sub[m].to_numpy()
+            arr[(m, y)] = a.sum(axis=0, keepdims=True) - a
+    nd = np.zeros((2, k), dtype=np.int64)
+    for _, r in dn.iterrows():
+        nd[int(r[label]), int(r[fold_col])] = int(r["n"])
+    n_train = nd.sum(axis=1, keepdims=True) - nd  # (2, k): training documents per class and fold
+    frames = []
+    for model in models:
+        if model == "nb":
+            c0, c1 = arr[("c", 0)], arr[("c", 1)]
+            t0, t1 = c0.sum(axis=1, keepdims=True), c1.sum(axis=1, keepdims=True)
+            w = np.log((c1 + 1) / (t1 + n_vocab)) - np.log((c0 + 1) / (t0 + n_vocab))
+        elif model == "presence":
+            d0, d1 = arr[("d", 0)], arr[("d", 1)]
+            w = (np.log((d1 + 1) / (n_train[1][:, None] + 2)) - np.log((d0 + 1) / (n_train[0][:, None] + 2)))
+        else:
+            raise ValueError(f"unknown model {model!r}")
+        wi = _round_half_away(w * SCALE)
+        bias = _round_half_away(np.log(n_train[1] / n_train[0]) * SCALE)
+        frames.append(pd.DataFrame({"model": model, "fold": np.repeat(np.arange(k), n_vocab).astype("int32"),
+                                    "token": np.tile(tokens, k), "w": wi.reshape(-1)}))
+        frames.append(pd.DataFrame({"model": model, "fold": np.arange(k).astype("int32"),
+                                    "token": BIAS_TOKEN, "w": bias}))
+    out = pd.concat(frames, ignore_index=True)
+    return spark.createDataFrame(out, schema="model string, fold int, token string, w bigint")

@@ -46,6 +46,14 @@ def build_vocab(df: DataFrame, tokens_col: str, size: int) -> DataFrame:
     return top.withColumn("id", (F.row_number().over(w) - 1 + N_SPECIAL).cast("int"))
 
 
+def fit_vocab(df: DataFrame, tokens_col: str, size: int) -> DataFrame:
+    """F1 as an estimator: the top-``size`` vocabulary, returned as a local relation
+    (at most ``size`` rows, as a fitted vocabulary model keeps it)."""
+    from ..plans.local import to_local
+
+    return to_local(build_vocab(df, tokens_col, size), size)
+
+
 def encode(df: DataFrame, vocab: DataFrame, tokens_col: str, key: str = "row_id",
            out: str = "input_ids", vocab_size_bound: int | None = None) -> DataFrame:
     """map tokens to ids (unknown -> ``UNK_ID``), keeping token order. Returns ``key, out``."""

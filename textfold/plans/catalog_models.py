@@ -31,7 +31,7 @@ def doc_tokens(spark, d) -> DataFrame:
 
 
 def vocab(spark, d) -> DataFrame:
-    return tokens.build_vocab(doc_tokens(spark, d), "toks", VOCAB)
+    return tokens.fit_vocab(doc_tokens(spark, d), "toks", VOCAB)
 
 
 def encoded_docs(spark, d) -> DataFrame:
@@ -41,10 +41,7 @@ def encoded_docs(spark, d) -> DataFrame:
 
 def model_weights(spark, d) -> DataFrame:
     f = folded(spark, d).withColumn("toks", tokens.tokenize(F.col("text")))
-    v = vocab(spark, d)
-    nb = scoring.fit_token_weights(f, "toks", "label", v, k=K, model="nb")
-    pr = scoring.fit_token_weights(f, "toks", "label", v, k=K, model="presence")
-    return nb.unionByName(pr)
+    return scoring.fit_token_weights(f, "toks", "label", vocab(spark, d), k=K, models=("nb", "presence"))
 
 
 def score_rows(spark, d, rows: DataFrame) -> DataFrame:
@@ -151,7 +148,8 @@ WITH {SQL_TOKENS}
 SELECT token, CAST(id AS BIGINT) AS id, cnt AS count FROM vocab
 """)
 def q_vocab(spark, d):
-    return vocab(spark, d).select("token", F.col("id").cast("bigint"), "count")
+    v = tokens.build_vocab(doc_tokens(spark, d), "toks", VOCAB)
+    return v.select("token", F.col("id").cast("bigint"), "count")
 
 
 @query("encode", f"""
