@@ -128,18 +128,22 @@ def fit_token_weights(train: DataFrame, tokens_col: str, label: str, vocab: Data
     st = st_all[st_all["token"] != BIAS_TOKEN]
     tokens = vocab_pd["token"].to_numpy()
     idx = {t: i for i, t in enumerate(tokens)}
-    # counts[m][y] : array (k, V) of per-fold totals; training share = total - own fold.
+
+    def slot(f):  # rows outside folds 0..k-1 are never held out: extra slot k
+        f = f.astype("int64")
+        return np.where((f >= 0) & (f < k), f, k)
+
+    # per (stat, class): array (k, V) of training totals = all rows - rows of fold f
     arr = {}
     for m in ("c", "d"):
         for y in (0, 1):
-            a = np.zeros((k, n_vocab), dtype=np.int64)
+            a = np.zeros((k + 1, n_vocab), dtype=np.int64)
             sub = st[st[label] == y]
-            a[sub[fold_col].to_numpy(), sub["token"].map(idx).to_numpy()] = sub[m].to_numpy()
-            arr[(m, y)] = a.sum(axis=0, keepdims=True) - a
-    nd = np.zeros((2, k), dtype=np.int64)
-    for _, r in dn.iterrows():
-        nd[int(r[label]), int(r[fold_col])] = int(r["n"])
-    n_train = nd.sum(axis=1, keepdims=True) - nd  # (2, k): training documents per class and fold
+            np.add.at(a, (slot(sub[fold_col].to_numpy()), sub["token"].map(idx).to_numpy()), sub[m].to_numpy())
+            arr[(m, y)] = a.sum(axis=0, keepdims=True) - a[:k]
+    nd = np.zeros((2, k + 1), dtype=np.int64)
+    np.add.at(nd, (dn[label].to_numpy().astype("int64"), slot(dn[fold_col].to_numpy())), dn["n"].to_numpy())
+    n_train = nd.sum(axis=1, keepdims=True) - nd[:, :k]  # (2, k): training documents per class and fold
     frames = []
     for model in models:
         if model == "nb":

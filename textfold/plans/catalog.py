@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.hashing import hash_key
 from ..functions.text import TOKEN_PATTERN
 from ..operators import batching, filters, folds, textprep
+from .partitioning import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,8 +38,15 @@ def query(name: str, sql: str | None = None):
 
 # ---------------------------------------------------------------- inputs
 
+# Unique keys of the driver tables (conversations: a conversation may be huge, so key by turn too).
+TABLE_KEYS = {"documents": ["doc_id"], "labels": ["doc_id"], "conversations": ["conv_id", "turn"],
+              "orders": ["o_orderkey"], "events": ["event_id"], "benchmark": ["item_id"]}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    keys = TABLE_KEYS.get(name)
+    return spread(df, keys) if keys else df
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:

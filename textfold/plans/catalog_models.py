@@ -598,3 +598,56 @@ def q_best_checkpoint(spark, d):
                      F.col("step").cast("bigint"), r6(F.col("metric")).alias("metric"))
         out = b if out is None else out.unionByName(b)
     return out
+
+
+# ---------------------------------------------------------------- I: fold models and pseudo-label cycles (rows-only)
+
+def _student_accuracy(spark, d, weights: DataFrame) -> DataFrame:
+    """OOF accuracy of per-fold students on the labelled rows of their own fold."""
+    rows = labelled(spark, d).withColumn("toks", tokens.tokenize(F.col("text"))).select("row_id", "toks")
+    s = scoring.score_linear(scoring.term_frequencies(rows, "toks"), weights, weights_bound=(VOCAB + 1) * K)
+    a = metrics.oof_accuracy(s, folded(spark, d), "label", by=())
+    return a.select(F.col("fold").cast("bigint"), r6(F.col("accuracy")).alias("accuracy"), "n_rows")
+
+
+def _cycle_inputs(spark, d):
+    from ..operators import cycles  # noqa: F401
+
+    train = folded(spark, d).withColumn("toks", tokens.tokenize(F.col("text"))).select("row_id", "toks", "label", "kfold")
+    extra = extra_rows(spark, d).select("row_id", "toks")
+    teacher = model_weights(spark, d).filter(F.col("model") == "nb")
+    return train, extra, teacher, vocab(spark, d)
+
+
+@query("oof_ml")
+def q_oof_ml(spark, d):
+    from ..operators import cycles
+
+    f = folded(spark, d).withColumn("toks", tokens.tokenize(F.col("text")))
+    p = cycles.fit_folds(f, "toks", "label", k=K)
+    return p.select(F.col("row_id").cast("bigint").alias("doc_id"), F.col("fold").cast("bigint"), "logit")
+
+
+@query("pseudo_cycle")
+def q_pseudo_cycle(spark, d):
+    from ..operators import cycles
+
+    train, extra, teacher, v = _cycle_inputs(spark, d)
+    return _student_accuracy(spark, d, cycles.pseudo_cycle(train, extra, teacher, v, k=K))
+
+
+@query("pseudo_single")
+def q_pseudo_single(spark, d):
+    from ..operators import cycles
+
+    train, extra, teacher, v = _cycle_inputs(spark, d)
+    return _student_accuracy(spark, d, cycles.pseudo_single(train, extra, teacher, v, k=K))
+
+
+@query("run_cycles")
+def q_run_cycles(spark, d):
+    from ..operators import cycles
+
+    train, extra, teacher, v = _cycle_inputs(spark, d)
+    w = cycles.run_cycles(["fold_wise", "averaged"], train, extra, teacher, v, k=K)
+    return _student_accuracy(spark, d, w)
