@@ -411,3 +411,64 @@ SELECT DISTINCT text_a, text_b FROM pairs
 """)
 def q_dedup_pairs(spark, d):
     return filters.dedup(pairs(spark, d).select("text_a", "text_b"))
+
+
+# ---------------------------------------------------------------- A: file round trips (written under the shared checkpoint folder)
+
+def _fresh_path(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from ..session import table_path
+
+    return table_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+@query("paragraph_file", """
+SELECT text AS paragraph FROM documents
+""")
+def q_paragraph_file(spark, d):
+    from .. import sources
+
+    path = _fresh_path(spark, "paragraphs")
+    table(spark, d, "documents").select("text").write.option("lineSep", "\n\n").text(path)
+    return sources.read_paragraphs(spark, path).select(F.col("text").alias("paragraph"))
+
+
+@query("csv_roundtrip", f"""
+WITH {SQL_LABELLED}
+SELECT doc_id, text, label FROM labelled
+""")
+def q_csv_roundtrip(spark, d):
+    from .. import sources
+
+    path = _fresh_path(spark, "labelled-csv")
+    sources.write_table(labelled(spark, d).select("doc_id", "text", "label"), path, fmt="csv")
+    return sources.read_labeled_csv(spark, path, "doc_id bigint, text string, label int")
+
+
+@query("tsv_pairs", f"""
+WITH {SQL_PAIRS}
+SELECT replace(replace(text_a, chr(10), ' '), chr(9), ' ') AS text_a,
+       replace(replace(text_b, chr(10), ' '), chr(9), ' ') AS text_b FROM pairs
+""")
+def q_tsv_pairs(spark, d):
+    from .. import sources
+
+    path = _fresh_path(spark, "pairs-tsv")
+    flat = [F.translate(F.translate(F.col(c), "\n", " "), "\t", " ") for c in ("text_a", "text_b")]
+    pairs(spark, d).select(F.concat_ws("\t", *flat).alias("value")).write.text(path)
+    return sources.read_unlabeled_pairs(spark, path).select("text_a", "text_b")
+
+
+@query("fold_label_files", f"""
+WITH {SQL_LABELLED}, {sql_folds('labelled', 'label', 'row_id')}
+SELECT doc_id, CAST(kfold AS BIGINT) AS fold, CAST(label AS DOUBLE) AS target FROM folded WHERE kfold >= 3
+""")
+def q_fold_label_files(spark, d):
+    from .. import sources
+
+    path = _fresh_path(spark, "fold-labels")
+    f = folded(spark, d).select("doc_id", F.col("kfold").alias("fold"), F.col("label").cast("double").alias("target"))
+    sources.write_fold_labels(f, path)
+    back = spark.read.parquet(path).filter(F.col("fold") >= 3)  # partition pruning
+    return back.select("doc_id", F.col("fold").cast("bigint"), "target")
