@@ -69,8 +69,7 @@ def pseudo_cycle(train: DataFrame, extra: DataFrame, teacher_weights: DataFrame,
     Pseudo labels are hard decisions of the teacher's fold-f logit. Returns the
     student weights (``model, fold, token, w``) for every fold.
     """
-    tf_extra = scoring.term_frequencies(extra, tokens_col, key)
-    preds = scoring.score_linear(tf_extra, teacher_weights, key)
+    preds = scoring.score_linear(extra, tokens_col, teacher_weights, key, weights_bound=None)
     labels = ensemble.fold_labels(preds, key)
     out = None
     for f in range(k):
@@ -90,8 +89,7 @@ def pseudo_single(train: DataFrame, extra: DataFrame, teacher_weights: DataFrame
     Reproduces the reference's cycle 2-3 behaviour, where fold isolation is lost
     (every teacher saw every training row but its own fold). Returns weights per fold.
     """
-    tf_extra = scoring.term_frequencies(extra, tokens_col, key)
-    preds = scoring.score_linear(tf_extra, teacher_weights, key)
+    preds = scoring.score_linear(extra, tokens_col, teacher_weights, key, weights_bound=None)
     avg = ensemble.average_pseudo(ensemble.fold_labels(preds, key), n_folds=k)
     pseudo = (extra.select(key, tokens_col).join(avg.filter(F.col("target").isNotNull()), key)
                    .withColumn("label", (F.col("target") > 0).cast("int")).select(key, tokens_col, "label"))

@@ -32,18 +32,24 @@ def term_frequencies(df: DataFrame, tokens_col: str, key: str = "row_id", binary
     return tf.unionByName(bias)
 
 
-def score_linear(tf: DataFrame, weights: DataFrame, key: str = "row_id",
-                 weights_bound: int | None = None) -> DataFrame:
-    """G1: ``logit = sum(tf * w) / SCALE`` for every (model, fold) in ``weights(model, fold, token, w)``.
-
-    ``w`` is an integer in milli-units; ``logit_milli`` keeps the exact integer.
-    Rows with no known token still get the bias row, so every (row, model, fold) is present.
+def score_linear(rows: DataFrame, tokens_col: str, weights: DataFrame, key: str = "row_id",
+                 binary: bool = False, weights_bound: int | None = None) -> DataFrame:
+    """G1: ``logit = sum over the row's tokens of w / SCALE`` for every (model, fold) in
+    ``weights(model, fold, token, w)``; ``binary`` counts each distinct token once.
+
+    Each row's token array gets the bias pseudo-token appended, is exploded and
+    joined map-side with the broadcast weight table (size-bounded), and partial
+    aggregation sums per ``(row, model, fold)`` before the only shuffle, which
+    moves one value per (row, model, fold). ``logit_milli`` keeps the exact integer.
     """
+    toks = F.concat(F.coalesce(F.col(tokens_col), F.array().cast("array<string>")), F.array(F.lit(BIAS_TOKEN)))
+    if binary:
+        toks = F.array_distinct(toks)
     w = weights.select("model", "fold", "token", "w")
     if weights_bound is not None and weights_bound <= 20_000_000:
         w = F.broadcast(w)
-    j = tf.join(w, "token")
-    s = j.groupBy(key, "model", "fold").agg(F.sum(F.col("tf") * F.col("w")).alias("logit_milli"))
+    e = rows.select(key, F.explode(toks).alias("token"))
+    s = e.join(w, "token").groupBy(key, "model", "fold").agg(F.sum("w").alias("logit_milli"))
     return s.withColumn("logit", F.col("logit_milli") / F.lit(float(SCALE)))
 
 

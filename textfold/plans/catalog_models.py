@@ -48,10 +48,9 @@ def score_rows(spark, d, rows: DataFrame) -> DataFrame:
     """Every row x every (model, fold): ``row_id, model, fold, logit_milli, logit``."""
     w = model_weights(spark, d)
     bound = (VOCAB + 1) * K
-    nb = scoring.score_linear(scoring.term_frequencies(rows, "toks"), w.filter(F.col("model") == "nb"),
+    nb = scoring.score_linear(rows, "toks", w.filter(F.col("model") == "nb"), weights_bound=bound)
+    pr = scoring.score_linear(rows, "toks", w.filter(F.col("model") == "presence"), binary=True,
                               weights_bound=bound)
-    pr = scoring.score_linear(scoring.term_frequencies(rows, "toks", binary=True),
-                              w.filter(F.col("model") == "presence"), weights_bound=bound)
     return nb.unionByName(pr)
 
 
@@ -605,7 +604,7 @@ def q_best_checkpoint(spark, d):
 def _student_accuracy(spark, d, weights: DataFrame) -> DataFrame:
     """OOF accuracy of per-fold students on the labelled rows of their own fold."""
     rows = labelled(spark, d).withColumn("toks", tokens.tokenize(F.col("text"))).select("row_id", "toks")
-    s = scoring.score_linear(scoring.term_frequencies(rows, "toks"), weights, weights_bound=(VOCAB + 1) * K)
+    s = scoring.score_linear(rows, "toks", weights, weights_bound=(VOCAB + 1) * K)
     a = metrics.oof_accuracy(s, folded(spark, d), "label", by=())
     return a.select(F.col("fold").cast("bigint"), r6(F.col("accuracy")).alias("accuracy"), "n_rows")
 
