@@ -48,7 +48,7 @@ def score_linear(rows: DataFrame, tokens_col: str, weights: DataFrame, key: str
     w = weights.select("model", "fold", "token", "w")
     if weights_bound is not None and weights_bound <= 20_000_000:
         w = F.broadcast(w)
-    e = rows.select(key, F.explode(toks).alias("token"))
+    e = rows.select(key, F.explode_outer(toks).alias("token"))  # outer: no inferred re-tokenising filter
     s = e.join(w, "token").groupBy(key, "model", "fold").agg(F.sum("w").alias("logit_milli"))
     return s.withColumn("logit", F.col("logit_milli") / F.lit(float(SCALE)))
 
@@ -85,17 +85,21 @@ def model_family(path: Column) -> Column:
 def class_token_stats(train: DataFrame, tokens_col: str, label: str, vocab: DataFrame,
                       fold_col: str = "kfold") -> DataFrame:
     """Sufficient statistics for every fold at once, in one pass and one shuffle:
-    ``(kfold, label, token, c, d)`` = token occurrences and documents containing it."""
-    base = train.select(fold_col, label, tokens_col)
-    occ = base.select(fold_col, label, F.explode(tokens_col).alias("token"),
-                      F.lit(1).alias("__c"), F.lit(0).alias("__d"))
-    pres = base.select(fold_col, label, F.explode(F.array_distinct(tokens_col)).alias("token"),
-                       F.lit(0).alias("__c"), F.lit(1).alias("__d"))
-    # The bias pseudo-token counts documents: d(bias) = documents per (fold, class).
-    docs = base.select(fold_col, label, F.lit(BIAS_TOKEN).alias("token"), F.lit(0).alias("__c"), F.lit(1).alias("__d"))
+    ``(kfold, label, token, c, d)`` = token occurrences and documents containing it.
+
+    Each row emits one tagged entry per occurrence ``(token, 1, 0)``, one per
+    distinct token ``(token, 0, 1)`` and the document marker ``(bias, 0, 1)``, from a
+    single explode, so the row is read and tokenised once.
+    """
+    toks = F.coalesce(F.col(tokens_col), F.array().cast("array<string>"))
+    entries = F.concat(
+        F.transform(toks, lambda t: F.struct(t.alias("token"), F.lit(1).alias("c"), F.lit(0).alias("d"))),
+        F.transform(F.array_distinct(toks), lambda t: F.struct(t.alias("token"), F.lit(0).alias("c"), F.lit(1).alias("d"))),
+        F.array(F.struct(F.lit(BIAS_TOKEN).alias("token"), F.lit(0).alias("c"), F.lit(1).alias("d"))))
+    e = train.select(fold_col, label, F.explode_outer(entries).alias("e")).select(fold_col, label, "e.*")
     known = vocab.select("token").unionByName(vocab.sparkSession.createDataFrame([(BIAS_TOKEN,)], "token string"))
-    both = occ.unionByName(pres).join(F.broadcast(known), "token").unionByName(docs)
-    return both.groupBy(fold_col, label, "token").agg(F.sum("__c").alias("c"), F.sum("__d").alias("d"))
+    both = e.join(F.broadcast(known), "token")
+    return both.groupBy(fold_col, label, "token").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
 
 
 def _round_half_away(x):

@@ -31,7 +31,9 @@ def tokenize(col: Column, pattern: str = TOKEN_PATTERN) -> Column:
 
 def token_counts(df: DataFrame, tokens_col: str) -> DataFrame:
     """Corpus token frequencies ``(token, count)``; partial aggregation runs map-side."""
-    return (df.select(F.explode(tokens_col).alias("token"))
+    # explode_outer: a plain explode lets the optimizer add a size(tokens) > 0 filter
+    # below the projection, which would evaluate the tokeniser twice.
+    return (df.select(F.explode_outer(tokens_col).alias("token")).filter(F.col("token").isNotNull())
             .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
 
 
