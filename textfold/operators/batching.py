@@ -10,7 +10,7 @@ from .folds import row_count
 
 
 def assign_batches(df: DataFrame, order_key: str, bs: int, key: str = "row_id",
-                   digits: int = 3) -> DataFrame:
+                   digits: int | None = None) -> DataFrame:
     """``position`` in the order of an md5 key and ``batch = position div bs`` (last batch short)."""
     d = hash_rank(df, order_key, tiebreak=key, out="position", digits=digits)
     return d.withColumn("batch", F.floor(F.col("position") / bs).cast("bigint"))
@@ -18,7 +18,7 @@ def assign_batches(df: DataFrame, order_key: str, bs: int, key: str = "row_id",
 
 def block_shuffle(df: DataFrame, bs: int, length_col: str, order_key: str, key: str = "row_id",
                   sort_bs_num: int | None = None, shuffle: bool = True, seed: int = 42,
-                  digits: int = 3) -> DataFrame:
+                  digits: int | None = None) -> DataFrame:
     """Length-bucketed batches.
 
     Rows are taken in the order of ``order_key`` (an md5 hex key). The last

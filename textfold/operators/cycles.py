@@ -49,6 +49,8 @@ def fit_folds(df: DataFrame, tokens_col: str, label: str, k: int = 5, task: str
             score = F.col("prediction")
         p = pred.select(key, F.lit(f).alias("fold"), score.alias("logit"))
         out = p if out is None else out.unionByName(p)
+    # The fits are done; the predictions recompute their features lazily if needed.
+    tf.unpersist()
     return out
 
 

@@ -22,14 +22,14 @@ def shuffle_key(df: DataFrame, seed: int, key: str = "row_id", out: str = "shuff
 
 
 def shuffle_positions(df: DataFrame, seed: int, key: str = "row_id", out: str = "position",
-                      digits: int = 3) -> DataFrame:
+                      digits: int | None = None) -> DataFrame:
     """E1 with explicit 0-based positions in the shuffled order (no single-task window)."""
     d = shuffle_key(df, seed, key, "__sk")
     return hash_rank(d, "__sk", tiebreak=key, out=out, digits=digits).drop("__sk")
 
 
 def epoch_order(df: DataFrame, seed: int, epoch: int, key: str = "row_id", out: str = "position",
-                digits: int = 3) -> DataFrame:
+                digits: int | None = None) -> DataFrame:
     """Per-epoch reshuffle; the key is ``md5(seed|epoch|row_id)``."""
     d = df.withColumn("__ek", hash_key(F.lit(seed), F.lit(epoch), F.col(key)))
     return hash_rank(d, "__ek", tiebreak=key, out=out, digits=digits).drop("__ek")
@@ -82,7 +82,7 @@ def _fold_bounds(cls: DataFrame, k: int) -> DataFrame:
 
 
 def assign_folds(df: DataFrame, strata: str, k: int = 5, seed: int = 42, key: str = "row_id",
-                 out: str = "kfold", classes_bound: int | None = None, digits: int = 3) -> DataFrame:
+                 out: str = "kfold", classes_bound: int | None = None, digits: int | None = None) -> DataFrame:
     """Exact stratified k-fold assignment.
 
     ``classes_bound`` is a proven bound on the number of strata (e.g. Sturges bins);

@@ -472,3 +472,54 @@ def q_fold_label_files(spark, d):
     sources.write_fold_labels(f, path)
     back = spark.read.parquet(path).filter(F.col("fold") >= 3)  # partition pruning
     return back.select("doc_id", F.col("fold").cast("bigint"), "target")
+
+
+# ---------------------------------------------------------------- H on the regression line: per-fold training-mean baseline
+
+def regression_oof(spark: SparkSession, d: str) -> DataFrame:
+    """Regression folds (E4) on ``n_chars``; every row is predicted by the mean target of the
+    training rows of its fold (``kfold <> f``), from a k-row statistics table."""
+    from ..operators import metrics  # noqa: F401
+
+    f = folds.assign_folds_regression(docs(spark, d).select("row_id", "doc_id", "n_chars"), "n_chars", k=K, seed=SEED)
+    st = f.groupBy("kfold").agg(F.sum("n_chars").alias("s"), F.count(F.lit(1)).alias("n"))
+    ts, tn = st.select(F.sum("s")).scalar(), st.select(F.sum("n")).scalar()
+    means = st.select("kfold", ((ts - F.col("s")) / (tn - F.col("n"))).alias("pred"))  # k rows
+    return f.join(F.broadcast(means), "kfold").withColumn("y", F.col("n_chars").cast("double"))
+
+
+SQL_REG_OOF = f"""
+{SQL_CUT}, {sql_folds('binned', 'bin', 'row_id')},
+st AS (SELECT kfold, sum(n_chars) AS s, count(*) AS n FROM folded GROUP BY kfold),
+m AS (SELECT kfold, ((SELECT sum(s) FROM st) - s) / ((SELECT sum(n) FROM st) - n) AS pred FROM st),
+o AS (SELECT f.row_id, f.kfold, CAST(f.n_chars AS DOUBLE) AS y, m.pred FROM folded f JOIN m ON m.kfold = f.kfold)
+"""
+
+
+@query("rmse_regression", f"""
+WITH {SQL_REG_OOF}
+SELECT CAST(kfold AS BIGINT) AS fold, count(*) AS n_rows, round(sqrt(avg(pow(y - pred, 2))), 6) AS rmse
+FROM o GROUP BY kfold
+""")
+def q_rmse_regression(spark, d):
+    from ..operators import metrics
+
+    o = regression_oof(spark, d)
+    r = metrics.rmse(o, "pred", "y", by=["kfold"])
+    n = o.groupBy("kfold").agg(F.count(F.lit(1)).alias("n_rows"))
+    return r.join(n, "kfold").select(F.col("kfold").cast("bigint").alias("fold"), "n_rows",
+                                    F.round("rmse", 6).alias("rmse"))
+
+
+@query("batch_rmse_regression", f"""
+WITH {SQL_REG_OOF},
+b AS (SELECT *, (row_number() OVER (PARTITION BY kfold ORDER BY md5('{SEED}|' || row_id), row_id) - 1) // 16 AS batch FROM o),
+s AS (SELECT kfold, batch, sum(pow(y - pred, 2)) AS sse FROM b GROUP BY ALL)
+SELECT CAST(kfold AS BIGINT) AS fold, round(sqrt(avg(sse)), 6) AS batch_rmse FROM s GROUP BY kfold
+""")
+def q_batch_rmse_regression(spark, d):
+    from ..operators import metrics
+
+    o = regression_oof(spark, d).withColumn("k", hash_key(F.lit(SEED), F.col("row_id")))
+    r = metrics.batch_rmse(o, "pred", "y", 16, "k", by=["kfold"])
+    return r.select(F.col("kfold").cast("bigint").alias("fold"), F.round("batch_rmse", 6).alias("batch_rmse"))

@@ -27,6 +27,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 MAX_BROADCAST_BUCKET_ROWS = 4_000_000
 
 
+# Target size of the bucket-offset table (groups x 16**digits rows, broadcast).
+BUCKET_TABLE_BUDGET = 1 << 20
+
+
 def hex_digits_for(n_rows: int | None, per_bucket: int = 2_000_000) -> int:
     """Hex digits so that a bucket holds about ``per_bucket`` rows (between 2 and 5)."""
     if not n_rows:
@@ -35,6 +39,21 @@ def hex_digits_for(n_rows: int | None, per_bucket: int = 2_000_000) -> int:
     return int(min(5, max(2, math.ceil(math.log(need, 16)) if need > 1 else 2)))
 
 
+def digits_for_groups(groups_bound: int | None, cap: int = 4) -> int:
+    """Most hex digits (2..cap) whose bucket table, groups x 16**digits, stays within the budget.
+
+    One group gets 65,536 buckets, two to sixteen groups 65,536 each, 64 Sturges bins
+    4,096 each: at 1e11 rows a window partition then holds about 1.5 M rows, and the
+    broadcast offset table stays near a million rows. Unknown group counts get 3.
+    """
+    if groups_bound is None:
+        return 3
+    d = 2
+    while d < cap and groups_bound * 16 ** (d + 1) <= BUCKET_TABLE_BUDGET:
+        d += 1
+    return d
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], broadcast_right: bool) -> DataFrame:
     r = right
     renamed = {c: f"__r_{c}" for c in cols}
@@ -74,9 +93,13 @@ def ordered_prefix(df: DataFrame, bucket: Column, order: Sequence[Column], by: S
 
 
 def hash_rank(df: DataFrame, key: str, tiebreak: str = "row_id", by: Sequence[str] = (),
-              out: str = "_rank", digits: int = 3, groups_bound: int | None = 1,
+              out: str = "_rank", digits: int | None = None, groups_bound: int | None = 1,
               weight: Column | None = None) -> DataFrame:
-    """0-based position in the order ``(key, tiebreak)`` within ``by``; ``key`` is an md5 hex string."""
+    """0-based position in the order ``(key, tiebreak)`` within ``by``; ``key`` is an md5 hex string.
+
+    ``digits`` (bucket = first ``digits`` hex characters) defaults to ``digits_for_groups``.
+    """
+    digits = digits or digits_for_groups(groups_bound)
     return ordered_prefix(df, F.substring(F.col(key), 1, digits), [F.col(key), F.col(tiebreak)], by,
                           weight=weight, out=out, groups_bound=groups_bound, buckets_bound=16 ** digits)
 
