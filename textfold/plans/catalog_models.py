@@ -650,3 +650,15 @@ def q_run_cycles(spark, d):
     train, extra, teacher, v = _cycle_inputs(spark, d)
     w = cycles.run_cycles(["fold_wise", "averaged"], train, extra, teacher, v, k=K)
     return _student_accuracy(spark, d, w)
+
+
+@query("scores_checked", f"""
+WITH {SQL_SCORED}
+SELECT CAST(row_id AS BIGINT) AS doc_id, model, CAST(fold AS BIGINT) AS fold, logit_milli FROM lscored
+""")
+def q_scores_checked(spark, d):
+    """Predictions gathered by key: repeated (row, model, fold) rows dropped, and any
+    remaining duplicate would raise; the result equals the plain scores."""
+    s = scoring.check_complete(scoring.drop_padding(labelled_scores(spark, d)))
+    return s.select(F.col("row_id").cast("bigint").alias("doc_id"), "model", F.col("fold").cast("bigint"),
+                    "logit_milli")
