@@ -12,7 +12,9 @@ from .catalog import K, SEED, SQL_LABELLED, SQL_PAIRS, docs, folded, labelled, p
 
 VOCAB = 2000
 VOCAB_LEN = VOCAB + tokens.N_SPECIAL
-MAX_LEN = 64
+# Sequence lengths used by the reference (passages 256, sentence pairs 128).
+MAX_LEN = 256
+PAIR_MAX_LEN = 128
 P = TOKEN_PATTERN
 
 
@@ -152,13 +154,25 @@ def q_vocab(spark, d):
 
 
 @query("encode", f"""
+WITH {SQL_TOKENS}
+SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens, array_to_string(ids, ' ') AS input_ids FROM enc
+""")
+def q_encode(spark, d):
+    """every document's whole token sequence as vocabulary ids (no truncation)."""
+    e = encoded_docs(spark, d)
+    return e.select("doc_id", F.size("input_ids").cast("bigint").alias("n_tokens"),
+                    ids_text(F.col("input_ids")).alias("input_ids"))
+
+
+@query("pad_to", f"""
 WITH {SQL_TOKENS},
 x AS (SELECT doc_id, list_concat([2], ids[1:{MAX_LEN - 2}], [3]) AS s FROM enc)
 SELECT doc_id, array_to_string(list_resize(s, {MAX_LEN}, 0), ' ') AS input_ids,
        array_to_string(list_resize(list_transform(s, lambda v: 1), {MAX_LEN}, 0), ' ') AS attention_mask
 FROM x
 """)
-def q_encode(spark, d):
+def q_pad_to(spark, d):
+    """``[CLS] ids [SEP]`` truncated and padded to the model length, with the attention mask."""
     e = encoded_docs(spark, d)
     ids, mask = tokens.pad_to(tokens.with_specials(F.col("input_ids"), MAX_LEN), MAX_LEN)
     return e.select("doc_id", ids_text(ids).alias("input_ids"), ids_text(mask).alias("attention_mask"))
@@ -189,7 +203,7 @@ def q_token_length(spark, d):
 
 @query("pad_batches", f"""
 WITH {SQL_TOKENS},
-x AS (SELECT doc_id, list_concat([2], ids[1:126], [3]) AS s,
+x AS (SELECT doc_id, list_concat([2], ids[1:{MAX_LEN - 2}], [3]) AS s,
              row_number() OVER (ORDER BY md5('{SEED}|1|' || row_id), row_id) - 1 AS position FROM enc),
 b AS (SELECT *, CAST(floor(position / 8) AS BIGINT) AS batch FROM x),
 m AS (SELECT *, max(len(s)) OVER (PARTITION BY batch) AS batch_len FROM b)
@@ -198,7 +212,7 @@ SELECT doc_id, batch, CAST(batch_len AS BIGINT) AS batch_len, CAST(batch_len - l
 FROM m
 """)
 def q_pad_batches(spark, d):
-    e = encoded_docs(spark, d).withColumn("s", tokens.with_specials(F.col("input_ids"), 128))
+    e = encoded_docs(spark, d).withColumn("s", tokens.with_specials(F.col("input_ids"), MAX_LEN))
     e = e.withColumn("k", hash_key(F.lit(SEED), F.lit(1), F.col("row_id")))
     b = batching.assign_batches(e, "k", 8)
     p = tokens.pad_batches(b, "s", "batch")
@@ -218,17 +232,17 @@ pb AS (SELECT p.row_id, coalesce(e.ids, []::INTEGER[]) AS b FROM ptoks p LEFT JO
          FROM (SELECT row_id, unnest(tb) AS token, generate_subscripts(tb, 1) AS pos FROM ptoks) t
          LEFT JOIN vocab v ON v.token = t.token GROUP BY row_id) e ON e.row_id = p.row_id),
 pl AS (SELECT pa.row_id, a, b, len(a) AS la, len(b) AS lb FROM pa JOIN pb ON pa.row_id = pb.row_id),
-pt AS (SELECT *, least(la, greatest({MAX_LEN - 3} - lb, {(MAX_LEN - 3 + 1) // 2})) AS a2,
-                 least(lb, greatest({MAX_LEN - 3} - la, {(MAX_LEN - 3) // 2})) AS b2 FROM pl)
+pt AS (SELECT *, least(la, greatest({PAIR_MAX_LEN - 3} - lb, {(PAIR_MAX_LEN - 3 + 1) // 2})) AS a2,
+                 least(lb, greatest({PAIR_MAX_LEN - 3} - la, {(PAIR_MAX_LEN - 3) // 2})) AS b2 FROM pl)
 """
 
 
 @query("encode_pair", f"""
 WITH {SQL_PAIR_ENC}
 SELECT row_id,
-  array_to_string(list_resize(list_concat([2], a[1:a2], [3], b[1:b2], [3]), {MAX_LEN}, 0), ' ') AS input_ids,
-  array_to_string(list_resize(list_concat(list_resize([]::INTEGER[], a2 + 2, 0), list_resize([]::INTEGER[], b2 + 1, 1)), {MAX_LEN}, 0), ' ') AS token_type_ids,
-  array_to_string(list_resize(list_resize([]::INTEGER[], a2 + b2 + 3, 1), {MAX_LEN}, 0), ' ') AS attention_mask
+  array_to_string(list_resize(list_concat([2], a[1:a2], [3], b[1:b2], [3]), {PAIR_MAX_LEN}, 0), ' ') AS input_ids,
+  array_to_string(list_resize(list_concat(list_resize([]::INTEGER[], a2 + 2, 0), list_resize([]::INTEGER[], b2 + 1, 1)), {PAIR_MAX_LEN}, 0), ' ') AS token_type_ids,
+  array_to_string(list_resize(list_resize([]::INTEGER[], a2 + b2 + 3, 1), {PAIR_MAX_LEN}, 0), ' ') AS attention_mask
 FROM pt
 """)
 def q_encode_pair(spark, d):
@@ -237,7 +251,7 @@ def q_encode_pair(spark, d):
     v = vocab(spark, d)
     ea = tokens.encode(p, v, "ta", out="a", vocab_size_bound=VOCAB)
     eb = tokens.encode(p, v, "tb", out="b", vocab_size_bound=VOCAB)
-    e = tokens.encode_pair(ea.join(eb, "row_id"), "a", "b", MAX_LEN)
+    e = tokens.encode_pair(ea.join(eb, "row_id"), "a", "b", PAIR_MAX_LEN)
     return e.select("row_id", ids_text(F.col("input_ids")).alias("input_ids"),
                     ids_text(F.col("token_type_ids")).alias("token_type_ids"),
                     ids_text(F.col("attention_mask")).alias("attention_mask"))
