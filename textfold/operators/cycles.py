@@ -54,6 +54,12 @@ def fit_folds(df: DataFrame, tokens_col: str, label: str, k: int = 5, task: str
     return out
 
 
+def _milli(preds: DataFrame) -> DataFrame:
+    """Use the exact integer logits for pseudo-label decisions: averages of integer-valued
+    doubles keep an exact zero at zero, so a tie never flips with the summation order."""
+    return preds.withColumn("logit", F.col("logit_milli").cast("double"))
+
+
 def _student(train_rows: DataFrame, tokens_col: str, vocab: DataFrame, model: str) -> DataFrame:
     """Fit token weights on all given rows (one 'fold' that holds out nothing)."""
     t = train_rows.withColumn("__kf", F.lit(-1))
@@ -71,7 +77,7 @@ def pseudo_cycle(train: DataFrame, extra: DataFrame, teacher_weights: DataFrame,
     Pseudo labels are hard decisions of the teacher's fold-f logit. Returns the
     student weights (``model, fold, token, w``) for every fold.
     """
-    preds = scoring.score_linear(extra, tokens_col, teacher_weights, key, weights_bound=None)
+    preds = _milli(scoring.score_linear(extra, tokens_col, teacher_weights, key, weights_bound=None))
     labels = ensemble.fold_labels(preds, key)
     out = None
     for f in range(k):
@@ -91,7 +97,7 @@ def pseudo_single(train: DataFrame, extra: DataFrame, teacher_weights: DataFrame
     Reproduces the reference's cycle 2-3 behaviour, where fold isolation is lost
     (every teacher saw every training row but its own fold). Returns weights per fold.
     """
-    preds = scoring.score_linear(extra, tokens_col, teacher_weights, key, weights_bound=None)
+    preds = _milli(scoring.score_linear(extra, tokens_col, teacher_weights, key, weights_bound=None))
     avg = ensemble.average_pseudo(ensemble.fold_labels(preds, key), n_folds=k)
     pseudo = (extra.select(key, tokens_col).join(avg.filter(F.col("target").isNotNull()), key)
                    .withColumn("label", (F.col("target") > 0).cast("int")).select(key, tokens_col, "label"))

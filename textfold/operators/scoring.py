@@ -154,6 +154,8 @@ def fit_token_weights(train: DataFrame, tokens_col: str, label: str, vocab: Data
     nd = np.zeros((2, k + 1), dtype=np.int64)
     np.add.at(nd, (dn[label].to_numpy().astype("int64"), slot(dn[fold_col].to_numpy())), dn["n"].to_numpy())
     n_train = nd.sum(axis=1, keepdims=True) - nd[:, :k]  # (2, k): training documents per class and fold
+    if (n_train <= 0).any():
+        raise ValueError("every fold's training rows must contain both classes (0 and 1)")
     frames = []
     for model in models:
         if model == "nb":

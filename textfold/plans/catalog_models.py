@@ -615,6 +615,53 @@ def q_best_checkpoint(spark, d):
 
 # ---------------------------------------------------------------- I: fold models and pseudo-label cycles (rows-only)
 
+
+def _sql_student_accuracy(mix_ctes: str) -> str:
+    """Oracle for a per-fold naive-Bayes student fitted on ``mix(fold, row_id, label, mult)``
+    (``mult`` = copies of the row), evaluated on the labelled rows of its own fold."""
+    return f"""
+WITH {SQL_SCORED},
+{mix_ctes},
+mocc AS (SELECT m.fold, m.label, m.mult, t.token
+         FROM mix m JOIN (SELECT row_id, unnest(toks) AS token FROM alltoks) t ON t.row_id = m.row_id
+         WHERE t.token IN (SELECT token FROM vocab)),
+mgrid AS (SELECT i AS fold, token FROM vocab, range({K}) r(i)),
+mcnt AS (SELECT g.fold, g.token, coalesce(sum(o.mult) FILTER (WHERE o.label = 0), 0) AS c0,
+                coalesce(sum(o.mult) FILTER (WHERE o.label = 1), 0) AS c1
+         FROM mgrid g LEFT JOIN mocc o ON o.fold = g.fold AND o.token = g.token GROUP BY g.fold, g.token),
+mtot AS (SELECT fold, sum(c0) AS N0, sum(c1) AS N1 FROM mcnt GROUP BY fold),
+mn AS (SELECT fold, sum(mult) FILTER (WHERE label = 0) AS n0, sum(mult) FILTER (WHERE label = 1) AS n1 FROM mix GROUP BY fold),
+sw AS (SELECT c.fold, c.token,
+              CAST(round((ln((c.c1 + 1) / (t.N1 + v.V)) - ln((c.c0 + 1) / (t.N0 + v.V))) * 1000) AS BIGINT) AS w
+       FROM mcnt c JOIN mtot t ON t.fold = c.fold, vsz v),
+sb AS (SELECT fold, CAST(round(ln(n1 / n0) * 1000) AS BIGINT) AS b FROM mn),
+lt AS (SELECT row_id, token, count(*) AS tf FROM (SELECT row_id, unnest(toks) AS token FROM lrows) GROUP BY ALL),
+ssum AS (SELECT t.row_id, w.fold, sum(t.tf * w.w) AS sm FROM lt t JOIN sw w ON w.token = t.token GROUP BY ALL),
+ls AS (SELECT f.row_id, f.kfold, f.label, sb.b + coalesce(ss.sm, 0) AS lm
+       FROM folded f JOIN sb ON sb.fold = f.kfold LEFT JOIN ssum ss ON ss.row_id = f.row_id AND ss.fold = f.kfold)
+SELECT CAST(kfold AS BIGINT) AS fold, round(avg(CASE WHEN (lm > 0) = (label = 1) THEN 1 ELSE 0 END), 6) AS accuracy,
+       count(*) AS n_rows
+FROM ls GROUP BY kfold
+"""
+
+
+SQL_MIX_FOLD_WISE = f"""
+ps AS (SELECT fold, row_id, CASE WHEN avg(logit_milli) > 0 THEN 1 ELSE 0 END AS label
+       FROM xscored WHERE model = 'nb' GROUP BY fold, row_id),
+mix AS (SELECT fold, row_id, label, 1 AS mult FROM ps
+        UNION ALL
+        SELECT r.i AS fold, f.row_id, f.label, {3} AS mult FROM folded f, range({K}) r(i) WHERE f.kfold <> r.i)
+"""
+
+SQL_MIX_AVERAGED = f"""
+fl AS (SELECT row_id, fold, avg(logit_milli) AS target FROM xscored WHERE model = 'nb' GROUP BY row_id, fold),
+avgp AS (SELECT row_id, CASE WHEN count(target) = {K} AND count(*) = {K} THEN sum(target) / {K} END AS target
+         FROM fl GROUP BY row_id),
+mix AS (SELECT r.i AS fold, p.row_id, CASE WHEN p.target > 0 THEN 1 ELSE 0 END AS label, 1 AS mult
+        FROM avgp p, range({K}) r(i) WHERE p.target IS NOT NULL)
+"""
+
+
 def _student_accuracy(spark, d, weights: DataFrame) -> DataFrame:
     """OOF accuracy of per-fold students on the labelled rows of their own fold."""
     rows = labelled(spark, d).withColumn("toks", tokens.tokenize(F.col("text"))).select("row_id", "toks")
@@ -641,7 +688,7 @@ def q_oof_ml(spark, d):
     return p.select(F.col("row_id").cast("bigint").alias("doc_id"), F.col("fold").cast("bigint"), "logit")
 
 
-@query("pseudo_cycle")
+@query("pseudo_cycle", _sql_student_accuracy(SQL_MIX_FOLD_WISE))
 def q_pseudo_cycle(spark, d):
     from ..operators import cycles
 
@@ -649,7 +696,7 @@ def q_pseudo_cycle(spark, d):
     return _student_accuracy(spark, d, cycles.pseudo_cycle(train, extra, teacher, v, k=K))
 
 
-@query("pseudo_single")
+@query("pseudo_single", _sql_student_accuracy(SQL_MIX_AVERAGED))
 def q_pseudo_single(spark, d):
     from ..operators import cycles
 
