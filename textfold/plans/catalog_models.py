@@ -616,35 +616,45 @@ def q_best_checkpoint(spark, d):
 # ---------------------------------------------------------------- I: fold models and pseudo-label cycles (rows-only)
 
 
-def _sql_student_accuracy(mix_ctes: str) -> str:
-    """Oracle for a per-fold naive-Bayes student fitted on ``mix(fold, row_id, label, mult)``
-    (``mult`` = copies of the row), evaluated on the labelled rows of its own fold."""
+def _sql_student(p: str, mix: str) -> str:
+    """CTEs ``{p}_sw(fold, token, w)`` and ``{p}_sb(fold, b)``: a per-fold naive-Bayes student
+    fitted on ``{mix}(fold, row_id, label, mult)``, ``mult`` = copies of the row."""
+    return f"""
+{p}_mocc AS (SELECT m.fold, m.label, m.mult, t.token
+             FROM {mix} m JOIN (SELECT row_id, unnest(toks) AS token FROM alltoks) t ON t.row_id = m.row_id
+             WHERE t.token IN (SELECT token FROM vocab)),
+{p}_grid AS (SELECT i AS fold, token FROM vocab, range({K}) r(i)),
+{p}_cnt AS (SELECT g.fold, g.token, coalesce(sum(o.mult) FILTER (WHERE o.label = 0), 0) AS c0,
+                   coalesce(sum(o.mult) FILTER (WHERE o.label = 1), 0) AS c1
+            FROM {p}_grid g LEFT JOIN {p}_mocc o ON o.fold = g.fold AND o.token = g.token GROUP BY g.fold, g.token),
+{p}_tot AS (SELECT fold, sum(c0) AS N0, sum(c1) AS N1 FROM {p}_cnt GROUP BY fold),
+{p}_n AS (SELECT fold, sum(mult) FILTER (WHERE label = 0) AS n0, sum(mult) FILTER (WHERE label = 1) AS n1
+          FROM {mix} GROUP BY fold),
+{p}_sw AS (SELECT c.fold, c.token,
+                  CAST(round((ln((c.c1 + 1) / (t.N1 + v.V)) - ln((c.c0 + 1) / (t.N0 + v.V))) * 1000) AS BIGINT) AS w
+           FROM {p}_cnt c JOIN {p}_tot t ON t.fold = c.fold, vsz v),
+{p}_sb AS (SELECT fold, CAST(round(ln(n1 / n0) * 1000) AS BIGINT) AS b FROM {p}_n)
+"""
+
+
+def _sql_student_eval(p: str) -> str:
+    """Accuracy of student ``p`` on the labelled rows of its own fold."""
     return f"""
-WITH {SQL_SCORED},
-{mix_ctes},
-mocc AS (SELECT m.fold, m.label, m.mult, t.token
-         FROM mix m JOIN (SELECT row_id, unnest(toks) AS token FROM alltoks) t ON t.row_id = m.row_id
-         WHERE t.token IN (SELECT token FROM vocab)),
-mgrid AS (SELECT i AS fold, token FROM vocab, range({K}) r(i)),
-mcnt AS (SELECT g.fold, g.token, coalesce(sum(o.mult) FILTER (WHERE o.label = 0), 0) AS c0,
-                coalesce(sum(o.mult) FILTER (WHERE o.label = 1), 0) AS c1
-         FROM mgrid g LEFT JOIN mocc o ON o.fold = g.fold AND o.token = g.token GROUP BY g.fold, g.token),
-mtot AS (SELECT fold, sum(c0) AS N0, sum(c1) AS N1 FROM mcnt GROUP BY fold),
-mn AS (SELECT fold, sum(mult) FILTER (WHERE label = 0) AS n0, sum(mult) FILTER (WHERE label = 1) AS n1 FROM mix GROUP BY fold),
-sw AS (SELECT c.fold, c.token,
-              CAST(round((ln((c.c1 + 1) / (t.N1 + v.V)) - ln((c.c0 + 1) / (t.N0 + v.V))) * 1000) AS BIGINT) AS w
-       FROM mcnt c JOIN mtot t ON t.fold = c.fold, vsz v),
-sb AS (SELECT fold, CAST(round(ln(n1 / n0) * 1000) AS BIGINT) AS b FROM mn),
 lt AS (SELECT row_id, token, count(*) AS tf FROM (SELECT row_id, unnest(toks) AS token FROM lrows) GROUP BY ALL),
-ssum AS (SELECT t.row_id, w.fold, sum(t.tf * w.w) AS sm FROM lt t JOIN sw w ON w.token = t.token GROUP BY ALL),
+ssum AS (SELECT t.row_id, w.fold, sum(t.tf * w.w) AS sm FROM lt t JOIN {p}_sw w ON w.token = t.token GROUP BY ALL),
 ls AS (SELECT f.row_id, f.kfold, f.label, sb.b + coalesce(ss.sm, 0) AS lm
-       FROM folded f JOIN sb ON sb.fold = f.kfold LEFT JOIN ssum ss ON ss.row_id = f.row_id AND ss.fold = f.kfold)
+       FROM folded f JOIN {p}_sb sb ON sb.fold = f.kfold LEFT JOIN ssum ss ON ss.row_id = f.row_id AND ss.fold = f.kfold)
 SELECT CAST(kfold AS BIGINT) AS fold, round(avg(CASE WHEN (lm > 0) = (label = 1) THEN 1 ELSE 0 END), 6) AS accuracy,
        count(*) AS n_rows
 FROM ls GROUP BY kfold
 """
 
 
+def _sql_student_accuracy(mix_ctes: str) -> str:
+    """Oracle for one cycle: student fitted on ``mix``, evaluated per fold."""
+    return f"WITH {SQL_SCORED},\n{mix_ctes},\n{_sql_student('s1', 'mix')},\n{_sql_student_eval('s1')}"
+
+
 SQL_MIX_FOLD_WISE = f"""
 ps AS (SELECT fold, row_id, CASE WHEN avg(logit_milli) > 0 THEN 1 ELSE 0 END AS label
        FROM xscored WHERE model = 'nb' GROUP BY fold, row_id),
@@ -704,7 +714,23 @@ def q_pseudo_single(spark, d):
     return _student_accuracy(spark, d, cycles.pseudo_single(train, extra, teacher, v, k=K))
 
 
-@query("run_cycles")
+SQL_RUN_CYCLES = f"""WITH {SQL_SCORED},
+{SQL_MIX_FOLD_WISE},
+{_sql_student('s1', 'mix')},
+x2_tf AS (SELECT row_id, token, count(*) AS tf FROM (SELECT row_id, unnest(toks) AS token FROM xrows) GROUP BY ALL),
+x2_sum AS (SELECT t.row_id, w.fold, sum(t.tf * w.w) AS sm FROM x2_tf t JOIN s1_sw w ON w.token = t.token GROUP BY ALL),
+x2 AS (SELECT r.row_id, b.fold, b.b + coalesce(s.sm, 0) AS logit_milli
+       FROM xrows r CROSS JOIN s1_sb b LEFT JOIN x2_sum s ON s.row_id = r.row_id AND s.fold = b.fold),
+fl2 AS (SELECT row_id, fold, avg(logit_milli) AS target FROM x2 GROUP BY row_id, fold),
+avgp2 AS (SELECT row_id, CASE WHEN count(target) = {K} AND count(*) = {K} THEN sum(target) / {K} END AS target
+          FROM fl2 GROUP BY row_id),
+mix2 AS (SELECT r.i AS fold, p.row_id, CASE WHEN p.target > 0 THEN 1 ELSE 0 END AS label, 1 AS mult
+         FROM avgp2 p, range({K}) r(i) WHERE p.target IS NOT NULL),
+{_sql_student('s2', 'mix2')},
+{_sql_student_eval('s2')}"""
+
+
+@query("run_cycles", SQL_RUN_CYCLES)
 def q_run_cycles(spark, d):
     from ..operators import cycles
 
