@@ -53,6 +53,26 @@ def score_linear(rows: DataFrame, tokens_col: str, weights: DataFrame, key: str
     return s.withColumn("logit", F.col("logit_milli") / F.lit(float(SCALE)))
 
 
+def score_models(rows: DataFrame, tokens_col: str, weights: DataFrame, binary_models=(),
+                 key: str = "row_id", weights_bound: int | None = None) -> DataFrame:
+    """G1 for several models in one pass: count models see every occurrence, ``binary_models``
+    each distinct token once. Each row is tokenised and exploded once into tagged entries
+    ``(token, binary)``; the weight table gets the same tag per model, and the broadcast join
+    on ``(token, binary)`` sends each entry to exactly the models that read it.
+    """
+    base = F.concat(F.coalesce(F.col(tokens_col), F.array().cast("array<string>")), F.array(F.lit(BIAS_TOKEN)))
+    entries = F.concat(F.transform(base, lambda t: F.struct(t.alias("token"), F.lit(False).alias("binary"))),
+                       F.transform(F.array_distinct(base), lambda t: F.struct(t.alias("token"), F.lit(True).alias("binary"))))
+    binary = list(binary_models)
+    w = weights.select("model", "fold", "token", "w",
+                       (F.col("model").isin(binary) if binary else F.lit(False)).alias("binary"))
+    if weights_bound is not None and weights_bound <= 20_000_000:
+        w = F.broadcast(w)
+    e = rows.select(key, F.explode_outer(entries).alias("e")).select(key, "e.token", "e.binary")
+    s = e.join(w, ["token", "binary"]).groupBy(key, "model", "fold").agg(F.sum("w").alias("logit_milli"))
+    return s.withColumn("logit", F.col("logit_milli") / F.lit(float(SCALE)))
+
+
 def score_with(df: DataFrame, fn, schema: str) -> DataFrame:
     """G1 for any user model: ``fn(iterator of pandas.DataFrame) -> iterator of pandas.DataFrame``.
 

@@ -38,8 +38,9 @@ def query(name: str, sql: str | None = None):
 
 # ---------------------------------------------------------------- inputs
 
-# Unique keys of the driver tables (conversations: a conversation may be huge, so key by turn too).
-TABLE_KEYS = {"documents": ["doc_id"], "labels": ["doc_id"], "conversations": ["conv_id", "turn"],
+# Unique keys of the driver tables that carry per-row work (conversations: a conversation may be
+# huge, so key by turn too). Small side tables such as labels are joined by broadcast, unspread.
+TABLE_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"],
               "orders": ["o_orderkey"], "events": ["event_id"], "benchmark": ["item_id"]}
 
 

@@ -50,10 +50,7 @@ def score_rows(spark, d, rows: DataFrame) -> DataFrame:
     """Every row x every (model, fold): ``row_id, model, fold, logit_milli, logit``."""
     w = model_weights(spark, d)
     bound = (VOCAB + 1) * K
-    nb = scoring.score_linear(rows, "toks", w.filter(F.col("model") == "nb"), weights_bound=bound)
-    pr = scoring.score_linear(rows, "toks", w.filter(F.col("model") == "presence"), binary=True,
-                              weights_bound=bound)
-    return nb.unionByName(pr)
+    return scoring.score_models(rows, "toks", w, binary_models=("presence",), weights_bound=2 * bound)
 
 
 def labelled_scores(spark, d) -> DataFrame:
