@@ -105,3 +105,22 @@ def test_best_checkpoint(spark):
 
 def test_sigmoid(spark):
     assert abs(spark.range(1).select(sigmoid(F.lit(0.3))).first()[0] - 0.574442516811659) < 1e-15
+
+
+def test_score_models_equals_per_model_scoring(spark):
+    from textfold.operators import scoring
+
+    rows = spark.createDataFrame([("a", ["x", "y", "x"]), ("b", ["z"]), ("c", [])], "row_id string, toks array<string>")
+    b = scoring.BIAS_TOKEN
+    w = spark.createDataFrame(
+        [(m, f, t, v) for m in ("cnt", "bin") for f in (0, 1)
+         for t, v in (("x", 3 if m == "cnt" else 5), ("y", -2), ("z", 7 + f), (b, 10 * (f + 1)))],
+        "model string, fold int, token string, w bigint")
+    both = {(r.row_id, r.model, r.fold): r.logit_milli
+            for r in scoring.score_models(rows, "toks", w, binary_models=("bin",)).collect()}
+    cnt = scoring.score_linear(rows, "toks", w.filter("model = 'cnt'"))
+    bnr = scoring.score_linear(rows, "toks", w.filter("model = 'bin'"), binary=True)
+    single = {(r.row_id, r.model, r.fold): r.logit_milli for r in cnt.unionByName(bnr).collect()}
+    assert both == single and len(both) == 3 * 2 * 2
+    assert both[("a", "cnt", 0)] == 3 + (-2) + 3 + 10 and both[("a", "bin", 0)] == 5 - 2 + 10
+    assert both[("c", "bin", 1)] == 20  # no tokens: bias only
