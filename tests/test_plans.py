@@ -36,3 +36,24 @@ def test_rank_windows_are_partitioned(spark):
         if "Exchange SinglePartition" in line:
             below = " ".join(lines[i + 1:i + 4])
             assert "HashAggregate(keys=[__bkt" in below, below
+
+
+def test_local_collection_is_size_checked(spark):
+    import pytest
+
+    from textfold.plans.local import TooLargeForLocal, to_local
+
+    assert to_local(spark.range(5), 5).count() == 5
+    with pytest.raises(TooLargeForLocal):
+        to_local(spark.range(6), 5)
+
+
+def test_bucket_digits_follow_group_bound():
+    from textfold.plans.ordering import BUCKET_TABLE_BUDGET, digits_for_groups
+
+    assert digits_for_groups(None) == 3
+    assert digits_for_groups(1) == 4 and digits_for_groups(2) == 4 and digits_for_groups(64) == 3
+    for g in (1, 2, 5, 16, 64, 1000, 100_000):
+        d = digits_for_groups(g)
+        assert 2 <= d <= 4
+        assert g * 16 ** d <= BUCKET_TABLE_BUDGET or d == 2
