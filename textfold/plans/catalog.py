@@ -524,3 +524,18 @@ def q_batch_rmse_regression(spark, d):
     o = regression_oof(spark, d).withColumn("k", hash_key(F.lit(SEED), F.col("row_id")))
     r = metrics.batch_rmse(o, "pred", "y", 16, "k", by=["kfold"])
     return r.select(F.col("kfold").cast("bigint").alias("fold"), F.round("batch_rmse", 6).alias("batch_rmse"))
+
+
+@query("line_files", r"""
+SELECT unnest(string_split(text, chr(10))) AS line FROM documents
+""")
+def q_line_files(spark, d):
+    """A2: the documents written as text files and read back line by line in a given file order;
+    every line must come back exactly once, whatever the file splits."""
+    from .. import sources
+
+    path = _fresh_path(spark, "lines")
+    table(spark, d, "documents").select("text").write.text(path)
+    files = sorted(spark.read.text(path).inputFiles())
+    lines = sources.read_lines(spark, files)
+    return lines.select(F.col("text").alias("line"))
