@@ -29,7 +29,7 @@ def op3_superkmer_dedup(spark, sf_dir):
 
 ORACLE["op3_superkmer_dedup"] = r"""
 WITH words AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS w
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
   FROM documents),
 windows AS (
   SELECT doc_id, i, list_slice(w, i, i + 12) AS win
