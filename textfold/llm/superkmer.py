@@ -28,14 +28,15 @@ from .words import Words, slices, text_bytes
 
 WINDOW = 13
 MINIMISER_WORDS = 3
-FLUSH_BYTES = 8 << 20
-BUCKET_BYTES = 16 << 20
+READ_BYTES = 2 << 20
+FLUSH_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 
 
 def _pack(parts: list[np.ndarray]) -> bytes:
     """Arrays as one compressed string."""
     head = np.array([len(p) for p in parts], dtype=np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(p.tobytes() for p in parts))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(p.tobytes() for p in parts))
 
 
 def _unpack(blob: bytes, kinds: list[type]) -> list[np.ndarray]:
@@ -76,35 +77,43 @@ def super_kmers(w: Words, k: int = WINDOW, m: int = MINIMISER_WORDS) -> tuple[np
 
 
 def _send(n_buckets: int, k: int, m: int):
+    def flush(held):
+        texts = [t for part in held for t in part[0]]
+        bucket, doc, digest, place = (np.concatenate(x) for x in list(zip(*held))[1:])
+        order = np.argsort(bucket, kind="stable")
+        bucket, doc, digest, place = bucket[order], doc[order], digest[order], place[order]
+        cut = np.flatnonzero(np.diff(bucket)) + 1
+        ids, blobs = [], []
+        for x, y in zip([0, *cut], [*cut, len(bucket)]):
+            seen: dict[bytes, int] = {}
+            which = [seen.setdefault(texts[i], len(seen)) for i in order[x:y].tolist()]
+            ids.append(int(bucket[x]))
+            blobs.append(_pack([np.array([len(t) for t in seen], np.int32), np.frombuffer(b"".join(seen), np.uint8),
+                                np.array(which, np.int32), doc[x:y], digest[x:y], place[x:y]]))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "packed"])
+
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             batch = batch.filter(pa.compute.is_valid(batch["doc_id"]))
-            for a, b in slices(batch["text"], FLUSH_BYTES):
+            for a, b in slices(batch["text"], READ_BYTES):
                 part = batch.slice(a, b - a)
                 w = Words(*text_bytes(part["text"]))
                 least, first, windows = super_kmers(w, k, m)
                 if not len(first):
                     continue
-                bucket = (least % np.uint64(n_buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                bucket, first, windows = bucket[order], first[order], windows[order]
                 raw, s = w.data.tobytes(), w.start
-                texts = [raw[x:y] for x, y in zip(s[first].tolist(), s[first + windows + k - 1].tolist())]
                 row = np.searchsorted(w.first, first, side="right") - 1
-                place = (first - w.first[row]).astype(np.int32)
-                doc = part["doc_id"].to_numpy(zero_copy_only=False)[row]
-                digest = part["digest"].to_numpy(zero_copy_only=False)[row]
-                cut = np.flatnonzero(np.diff(bucket)) + 1
-                ids, blobs = [], []
-                for x, y in zip([0, *cut], [*cut, len(bucket)]):
-                    seen: dict[bytes, int] = {}
-                    which = [seen.setdefault(t, len(seen)) for t in texts[x:y]]
-                    ids.append(int(bucket[x]))
-                    blobs.append(_pack([np.array([len(t) for t in seen], np.int32),
-                                        np.frombuffer(b"".join(seen), np.uint8), np.array(which, np.int32),
-                                        doc[x:y], digest[x:y], place[x:y]]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())],
-                                                 ["bucket", "packed"])
+                held.append(([raw[x:y] for x, y in zip(s[first].tolist(), s[first + windows + k - 1].tolist())],
+                             (least % np.uint64(n_buckets)).astype(np.int64),
+                             part["doc_id"].to_numpy(zero_copy_only=False)[row],
+                             part["digest"].to_numpy(zero_copy_only=False)[row], (first - w.first[row]).astype(np.int32)))
+                size += len(raw)
+                if size >= FLUSH_BYTES:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
     return run
 
 
@@ -180,7 +189,7 @@ def _count(k: int):
 def repeated_spans(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER_WORDS,
                    bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, digest, first, end): word spans of windows that also start in a smaller document.
-    ``docs`` has doc_id, text and digest (xxhash64 of the text). Spans of a document may overlap."""
+    ``docs`` has doc_id, text and digest (a bigint that tells rows with one doc_id apart). Spans of a document may overlap."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     n_buckets = max(16, math.ceil(total / bucket_bytes))
@@ -190,7 +199,7 @@ def repeated_spans(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER_WORDS,
 
 def _cut(batches):
     for batch in batches:
-        for a, b in slices(batch["text"], FLUSH_BYTES):
+        for a, b in slices(batch["text"], READ_BYTES):
             part = batch.slice(a, b - a)
             w = Words(*text_bytes(part["text"]))
             raw, first = w.data.tobytes(), w.first
@@ -224,7 +233,9 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER_WORDS,
     """(doc_id, n_words, n_removed, kept_sha256, kept) of each row: ``kept`` is the text without the words
     covered by a window of ``k`` words that also starts in a document with a smaller id."""
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    d = d.withColumn("digest", F.xxhash64("text"))
+    # the text's digest tells rows with one doc_id apart; it travels only where there are such rows
+    repeats = d.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    d = d.withColumn("digest", F.xxhash64("text") if repeats else F.lit(0).cast("bigint"))
     spans = (repeated_spans(d, k, m, bucket_bytes).groupBy("doc_id", "digest")
              .agg(F.collect_list(F.struct("first", "end")).alias("spans")))
     return (d.join(spans, ["doc_id", "digest"], "left").select("doc_id", "text", "spans")
