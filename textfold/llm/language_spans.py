@@ -208,44 +208,57 @@ def viterbi(score: np.ndarray, count: np.ndarray, switch: float = SWITCH) -> np.
 SPAN = pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("lang", pa.string())])
 
 
-def _label(model: Model):
-    names = pa.array([*model.languages, "und"])
+class Labeller:
+    """Language, score and spans of the texts of a batch."""
 
+    def __init__(self, model: Model):
+        self.names = pa.array([*model.languages, "und"])
+        self.m = len(model.languages)
+        self.scores = WordScores(model)
+
+    def __call__(self, col: pa.Array) -> tuple[pa.Array, np.ndarray, pa.ListArray]:
+        score, count, letters, m = [], [], [], self.m
+        for a, b in slices(col, READ_BYTES):
+            texts = [LETTERS.findall(t.lower()) if t and m else [] for t in col.slice(a, b - a).to_pylist()]
+            score.append(self.scores.rows(texts))
+            count.append(np.fromiter(map(len, texts), np.int64, len(texts)))
+            letters.append(np.fromiter((len(w) for t in texts for w in t), np.int64, int(count[-1].sum())))
+        score, count, letters = map(np.concatenate, (score, count, letters))
+        label = viterbi(score, count)
+        doc = np.repeat(np.arange(len(count)), count)
+        share = np.bincount(doc * max(m, 1) + label, weights=letters, minlength=len(count) * max(m, 1)).reshape(len(count), -1)
+        total = share.sum(axis=1)
+        pred = np.where(total > 0, share.argmax(axis=1), m)
+        part = np.divide(share.max(axis=1), total, out=np.zeros(len(count)), where=total > 0)
+        new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])))) if len(doc) else doc
+        stop = np.append(new[1:], len(doc)) if len(doc) else new
+        base = (np.cumsum(count) - count)[doc[new]]
+        spans = pa.StructArray.from_arrays([pa.array((new - base).astype(np.int32)), pa.array((stop - base).astype(np.int32)),
+                                            self.names.take(pa.array(label[new].astype(np.int64)))], fields=list(SPAN))
+        off = np.searchsorted(doc[new], np.arange(len(count) + 1)).astype(np.int32)
+        return self.names.take(pa.array(pred)), part, pa.ListArray.from_arrays(pa.array(off), spans)
+
+
+def label_languages(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, lang_pred, score, spans) of each row; ``spans`` are runs of words in one language."""
     def run(batches):
-        scores = WordScores(model)
-        m = len(model.languages)
+        label = Labeller(model)
         for batch in batches:
-            score, count, letters = [], [], []
-            for a, b in slices(batch["text"], READ_BYTES):
-                texts = [LETTERS.findall(t.lower()) if t and m else [] for t in batch["text"].slice(a, b - a).to_pylist()]
-                score.append(scores.rows(texts))
-                count.append(np.fromiter(map(len, texts), np.int64, len(texts)))
-                letters.append(np.fromiter((len(w) for t in texts for w in t), np.int64, int(count[-1].sum())))
-            if not count:
-                continue
-            score, count, letters = map(np.concatenate, (score, count, letters))
-            label = viterbi(score, count)
-            doc = np.repeat(np.arange(len(count)), count)
-            share = np.bincount(doc * max(m, 1) + label, weights=letters, minlength=len(count) * max(m, 1)).reshape(len(count), -1)
-            total = share.sum(axis=1)
-            pred = np.where(total > 0, share.argmax(axis=1), m)
-            part = np.divide(share.max(axis=1), total, out=np.zeros(len(count)), where=total > 0)
-            new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])))) if len(doc) else doc
-            stop = np.append(new[1:], len(doc)) if len(doc) else new
-            base = (np.cumsum(count) - count)[doc[new]] if len(doc) else new
-            spans = pa.StructArray.from_arrays([pa.array((new - base).astype(np.int32)), pa.array((stop - base).astype(np.int32)),
-                                                names.take(pa.array(label[new].astype(np.int64)))], fields=list(SPAN))
-            off = np.searchsorted(doc[new], np.arange(len(count) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch["key"], names.take(pa.array(pred)), pa.array(part), pa.ListArray.from_arrays(pa.array(off), spans)],
-                ["key", "lang_pred", "score", "spans"])
-    return run
+            if batch.num_rows:
+                pred, score, spans = label(batch["text"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], pred, pa.array(score), spans],
+                                                 ["doc_id", "lang_pred", "score", "spans"])
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
+        run, "doc_id bigint, lang_pred string, score double, spans array<struct<first_word: int, end_word: int, lang: string>>")
 
 
-def label_languages(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
-    """(key, lang_pred, score, spans) of each row; ``spans`` are runs of words in one language.
-    ``key`` names a column, any type, that is passed on."""
-    d = docs.select(F.col(key).alias("key"), "text")
-    kind = d.schema["key"].dataType.simpleString()
-    out = f"key {kind}, lang_pred string, score double, spans array<struct<first_word: int, end_word: int, lang: string>>"
-    return d.mapInArrow(_label(model), out)
+def keep_languages(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language with at least that score."""
+    def run(batches):
+        label = Labeller(model)
+        for batch in batches:
+            if batch.num_rows:
+                pred, score, _ = label(batch["text"])
+                kept = pa.array((score >= least_score) & (pred.to_numpy(zero_copy_only=False) != "und"))
+                yield batch.filter(kept)
+    return docs.mapInArrow(run, docs.schema)

@@ -80,9 +80,9 @@ def _sample_end(rows: DataFrame, plan: DataFrame) -> DataFrame:
                     (F.col("base") + F.coalesce("inside", F.lit(0))).alias("got")))
 
 
-def mix_sources(docs: DataFrame, seed: int = SEED, fills: int = FILLS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) of each row: ``copies`` whole copies of the
-    document are in the mix, ``taken`` words in all."""
+def mix_copies(docs: DataFrame, seed: int = SEED, fills: int = FILLS) -> DataFrame:
+    """``docs`` with the columns mix_size, mix_source_size, mix_target and mix_copies: the document's words, those of
+    its source, the source's target, and how many whole copies of the document are in the mix."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint")
     sized = materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size")),
                         "mix-sizes")
@@ -125,22 +125,38 @@ def mix_sources(docs: DataFrame, seed: int = SEED, fills: int = FILLS) -> DataFr
     plan = materialize(plan.join(e, F.col("source").eqNullSafe(F.col("x")), "left").drop("x").drop("open")
                        .join(targets.withColumnRenamed("source", "y").drop("open"),
                              F.col("source").eqNullSafe(F.col("y"))).drop("y"), "mix-plan")
-    all_docs = sized.withColumn("u", u).join(plan.withColumnRenamed("source", "s"),
-                                             F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    key = F.struct(odds.alias("odds"), F.col("u").alias("u"), F.col("doc_id").alias("doc_id"), F.col("size").alias("size"))
-    sampled = (F.col("p") > 0) & (F.col("size") > 0) & (
-        _taken(fills, F.col("u"), key, F.col("size")) | F.coalesce(key == F.col("extra"), F.lit(False)))
-    copies = F.col("certain") + F.when(sampled, 1).otherwise(0)
-    return all_docs.select("doc_id", "source", "size", "source_size", "target",
-                           copies.cast("bigint").alias("copies"), (F.col("size") * copies).cast("bigint").alias("taken"))
+    plan = plan.select(F.col("source").alias("__s"), *[F.col(c).alias(f"__{c}") for c in plan.columns if c != "source"])
+    d = docs.withColumn("__size", size).withColumn("__u", u)
+    d = d.join(plan, F.col("source").cast("string").eqNullSafe(F.col("__s")))  # the plan is small: a broadcast by its size
+    key = F.struct(((F.col("__u") / (1 - F.col("__u"))) / (F.col("__p") / (1 - F.col("__p")))).alias("odds"), F.col("__u").alias("u"),
+                   F.col("doc_id").alias("doc_id"), F.col("__size").alias("size"))
+    sampled = (F.col("__p") > 0) & (F.col("__size") > 0) & (
+        _taken(fills, F.col("__u"), key, F.col("__size"), "__") | F.coalesce(key == F.col("__extra"), F.lit(False)))
+    copies = (F.col("__certain") + F.when(sampled, 1).otherwise(0)).cast("bigint")
+    return d.select(*docs.columns, F.col("__size").alias("mix_size"), F.col("__source_size").alias("mix_source_size"),
+                    F.col("__target").alias("mix_target"), F.when(F.col("__size") > 0, copies).otherwise(0).alias("mix_copies"))
+
+
+def mix_sources(docs: DataFrame, seed: int = SEED, fills: int = FILLS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) of each row; ``taken`` is the words of all its copies."""
+    mixed = mix_copies(docs.select("doc_id", "source", "text"), seed, fills)
+    return mixed.select("doc_id", "source", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
+                        F.col("mix_target").alias("target"), F.col("mix_copies").alias("copies"),
+                        (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+
+
+def mixed(docs: DataFrame, seed: int = SEED, fills: int = FILLS) -> DataFrame:
+    """The mix itself: each row of ``docs``, all its columns, as often as it is taken."""
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int"))).alias("__copy")
+    return mix_copies(docs, seed, fills).select(*docs.columns, copies).drop("__copy")
 
 
-def _taken(rounds: int, u: Column, key: Column, size: Column) -> Column:
+def _taken(rounds: int, u: Column, key: Column, size: Column, mark: str = "") -> Column:
     """Whether one of the first ``rounds`` rounds took the document."""
     range_no = F.floor(u * BUCKETS).cast("int")
     out = F.lit(False)
     for i in range(rounds):
-        before = (F.coalesce(range_no < F.col(f"end{i}"), F.lit(True))
-                  | F.coalesce((range_no == F.col(f"end{i}")) & (key <= F.col(f"last{i}")), F.lit(False)))
-        out = out | (F.col(f"end_any{i}") & (size <= F.col(f"gate{i}")) & before)
+        before = (F.coalesce(range_no < F.col(f"{mark}end{i}"), F.lit(True))
+                  | F.coalesce((range_no == F.col(f"{mark}end{i}")) & (key <= F.col(f"{mark}last{i}")), F.lit(False)))
+        out = out | (F.col(f"{mark}end_any{i}") & (size <= F.col(f"{mark}gate{i}")) & before)
     return out

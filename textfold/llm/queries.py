@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import superkmer
+from public_tokenizers import path as tokenizer_path
+
+from . import (edit_decontam, jaccard_join, language_spans, license_scan, multi_index, pareto_mix, repair_output, superkmer,
+               token_counts, wrapper_extract)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,6 +24,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_repair_output(spark, sf_dir):
+    """Token ids written as Re-Pair grammars in doc_id order, and read back."""
+    return repair_output.write_and_read(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query
+def op2_license_scan(spark, sf_dir):
+    """Licence notices by conditional compression."""
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_superkmer_dedup(spark, sf_dir):
     """Words of windows that start in an earlier document removed (super-k-mer buckets)."""
@@ -48,3 +63,48 @@ flat AS (
   GROUP BY doc_id)
 SELECT doc_id, n_words, n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM kept LEFT JOIN flat USING (doc_id)
 """
+
+
+@query
+def op4_multi_index(spark, sf_dir):
+    """The 5 nearest of each vector whose id is divisible by 50, by an inverted multi-index."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return multi_index.search(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+@query
+def op5_language_spans(spark, sf_dir):
+    """Language of each document, learned from those that aren't held out."""
+    docs = _table(spark, sf_dir, "documents")
+    labelled = language_spans.label_languages(docs, language_spans.fit(docs))
+    return labelled.select("doc_id", language_spans.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+@query
+def op6_wrapper_extract(spark, sf_dir):
+    """Main text of each page by templates of its host."""
+    return wrapper_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_edit_decontam(spark, sf_dir):
+    """Benchmark items within their edit budget in documents."""
+    return edit_decontam.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_pareto_mix(spark, sf_dir):
+    """Sources mixed to target weights by Pareto order sampling."""
+    return pareto_mix.mix_sources(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_token_counts(spark, sf_dir):
+    """Tokens of each document by the sentencepiece model."""
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query
+def op10_jaccard_join(spark, sf_dir):
+    """Components of documents whose shingle sets are similar."""
+    return jaccard_join.link_documents(_table(spark, sf_dir, "documents"))

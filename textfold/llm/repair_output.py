@@ -3,7 +3,7 @@
 Documents are sorted by ``doc_id`` into ranges; a range's task encodes its texts, appends the end id to each
 and cuts them into shards of about ``SHARD_IDS`` ids. In a shard, frequent adjacent pairs of symbols are
 replaced by nonterminals, the most frequent first: each round replaces the pairs above a count that falls
-from round to round, and where two of them overlap the more frequent one. A pair never spans two documents.
+from round to round and then stays until a round gains little, and where two of them overlap the more frequent one. A pair never spans two documents.
 
 A shard is one row of a Parquet table written into the shared folder: its place (``part``, ``shard``), its
 documents' range, the ids before it in its part, and ``payload``, the grammar: document ids, ids and
@@ -40,6 +40,7 @@ END_ID = 1
 LEAST_COUNT = 16
 LARGEST_SHARE = 1 / 1000
 FALL = 8
+LEAST_GAIN = 0.02
 
 _encoders: dict[str, "PieceEncoder"] = {}
 
@@ -133,7 +134,7 @@ def compress(ids: np.ndarray, doc_sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     rules, lengths, n_rules = [], [np.ones(0, np.int64)], 0
     floor = max(LEAST_COUNT, int(len(ids) * LARGEST_SHARE))
     while len(seq) > 1:
-        a, b = seq[:-1], seq[1:]
+        a, b, before = seq[:-1], seq[1:], len(seq)
         # candidates: pairs in a count bucket that reaches the floor; then exact counts of these alone
         h = ((a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(44)).astype(np.int64)
         open_ = ~stops[:-1]
@@ -168,7 +169,7 @@ def compress(ids: np.ndarray, doc_sizes: np.ndarray) -> tuple[np.ndarray, np.nda
             live = np.ones(len(seq), dtype=bool)
             live[at + 1] = False
             seq, stops = seq[live], stops[live]
-        if floor == LEAST_COUNT:
+        if floor == LEAST_COUNT and before - len(seq) <= LEAST_GAIN * before:
             break
         floor = max(LEAST_COUNT, floor // FALL)
     sizes = np.diff(np.concatenate(([-1], np.flatnonzero(stops))))
