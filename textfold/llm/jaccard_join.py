@@ -9,8 +9,10 @@ their sets' Jaccard similarity reaches 3/4, in integers ``7 * overlap >= 3 * (si
    this one keeps common passages out of the prefixes.
 3. Two classes can only link if they share a shingle within a prefix of their ordered sets, so only
    prefixes are shuffled. A shingle's list is never paired with itself as a whole: in each of ``STARS`` rounds
-   its members meet one hub, linked classes merge into components, and in the last round members
+   its members meet ``HUBS`` of them, linked classes merge into components, and in the last round members
    of different components of a list are paired, all of them.
+   A pair is a candidate where its sizes, what follows the shared shingle in both orders, and 256 parity bits of both sets
+   leave room for enough overlap.
 4. Overlaps of candidate pairs are counted by vertical partitioning: the order is cut into ``FRAGMENTS``,
    each fragment counts the partial overlaps of its part of the sets, and the sums per pair decide.
 5. Components come from alternating large and small stars over the links.
@@ -35,14 +37,17 @@ from .shared import materialize
 from .words import Words, mix, slices, text_bytes
 
 WORDS = 5
-READ_BYTES = 4 << 20
+READ_BYTES = 2 << 20
 HEAVY_SEEN = 8
 HEAVY_MOST = 200_000
-FLUSH_SHINGLES = 4_000_000
+FLUSH_SHINGLES = 2_000_000
 SALTS = 64
 STARS = 2
+HUBS = 3
 FRAGMENTS = 4
 BLOCK_PAIRS = 20_000
+WANTED_BROADCAST = 1_000_000  # rows of three 64-bit numbers: 24 MB; more of them are joined by a shuffle
+PARITY = ("b0", "b1", "b2", "b3")
 _TOP = np.uint64(1 << 63)
 
 
@@ -80,6 +85,21 @@ def digests(gram: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[0], out[1]
 
 
+def parities(gram: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Four 64-bit words for each set: whether an odd number of its shingles falls on each of 256 places. Two sets differ in at
+    least as many shingles as these differ in bits."""
+    place = (gram >> np.uint64(6)) & np.uint64(3)
+    bit = np.uint64(1) << (gram & np.uint64(63))
+    some = np.flatnonzero(np.diff(first))
+    out = []
+    for word in range(4):
+        total = np.zeros(len(first) - 1, dtype=np.uint64)
+        if len(some):
+            total[some] = np.bitwise_xor.reduceat(np.where(place == word, bit, np.uint64(0)), first[some])
+        out.append(total.view(np.int64))
+    return out
+
+
 def _sets(batches):
     for batch in batches:
         for a, b in slices(batch["text"], READ_BYTES):
@@ -90,7 +110,7 @@ def _sets(batches):
 
 def _classes(batches):
     """A row for each document, and (kind 1) rows of shingles that many classes of this task share."""
-    names = ["kind", "doc_id", "digest", "n", "c1", "c2"]
+    names = ["kind", "doc_id", "digest", "n", "c1", "c2", *PARITY]
     held, size, seen = [], 0, set()
 
     def heavy():
@@ -98,12 +118,12 @@ def _classes(batches):
         much = count >= HEAVY_SEEN
         n = int(much.sum())
         return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(count[much]),
-                                           pa.array(gram[much].astype(np.int64)), pa.array(np.zeros(n, np.int64))], names)
+                                           pa.array(gram[much].astype(np.int64)), *[pa.nulls(n, pa.int64())] * 5], names)
     for part, gram, first in _sets(batches):
         n = np.diff(first)
         c1, c2 = digests(gram, first)
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), part["doc_id"], part["digest"], pa.array(n), pa.array(c1),
-                                          pa.array(c2)], names)
+                                          pa.array(c2), *map(pa.array, parities(gram, first))], names)
         new = np.zeros(len(n), dtype=bool)
         for i, c in enumerate(c1.tolist()):
             if c not in seen:
@@ -246,6 +266,16 @@ def _overlaps(key, pairs: pa.Table, sets: pa.Table) -> pa.Table:
     return pa.table([pa.array(ab[0][some]), pa.array(ab[1][some]), pa.array(shared[some])], schema=PARTIAL)
 
 
+def pair_sets(d: DataFrame, classes: DataFrame, pairs: DataFrame, heavy: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """(c, fragment, keys) of the classes in ``pairs``, from the text of one document of each."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes, "c")
+    wanted = materialize(wanted.select("c", F.col("one.doc_id").alias("i"), F.col("one.digest").alias("g")), "jaccard-wanted")
+    if wanted.count() <= WANTED_BROADCAST:
+        wanted = F.broadcast(wanted)
+    texts = d.join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("g"))).select("c", "text")
+    return materialize(texts.mapInArrow(_fragments(heavy, rank), "c bigint, fragment int, keys binary"), "jaccard-fragments")
+
+
 def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v) of the candidate pairs (a, b, total) that link; ``total`` is the sum of their sizes."""
     n = pairs.count()
@@ -293,18 +323,25 @@ def _pairs(x: str, y: str) -> list[Column]:
             (c(x, "n") + c(y, "n")).alias("total")]
 
 
+MEMBER = ("c", "n", "pos", "comp", *PARITY)
+
+
 def _named(lists: DataFrame, s: str) -> DataFrame:
-    return lists.select("t", *[F.col(f).alias(f"{s}{f}") for f in ("c", "n", "pos", "comp")])
+    return lists.select("t", *[F.col(f).alias(f"{s}{f}") for f in MEMBER])
 
 
 def _cond(x: str, y: str) -> Column:
-    return (F.col(f"{x}comp") != F.col(f"{y}comp")) & _may_link(F.col(f"{x}n"), F.col(f"{x}pos"), F.col(f"{y}n"), F.col(f"{y}pos"))
+    differ = sum((F.bit_count(F.col(f"{x}{b}").bitwiseXOR(F.col(f"{y}{b}"))) for b in PARITY), F.lit(0))
+    return (7 * differ <= F.col(f"{x}n") + F.col(f"{y}n")) & (F.col(f"{x}comp") != F.col(f"{y}comp")) & _may_link(F.col(f"{x}n"), F.col(f"{x}pos"), F.col(f"{y}n"), F.col(f"{y}pos"))
 
 
 def star_pairs(lists: DataFrame, seed: int) -> DataFrame:
-    """Every class of a list with the list's hub, where they are in different components and may link."""
-    hub = lists.groupBy("t").agg(F.min(F.struct(F.xxhash64("c", F.lit(seed)).alias("h"), "c", "n", "pos", "comp")).alias("hub"))
-    hub = hub.select("t", *[F.col(f"hub.{f}").alias(f"h{f}") for f in ("c", "n", "pos", "comp")])
+    """Every class of a list with the list's hubs, where they are in different components and may link. The hubs change with the
+    seed, so a class that is too far from one copy of its text meets others in the next round."""
+    member = F.struct(*MEMBER)
+    hubs = lists.groupBy("t").agg(*[F.min_by(member, F.xxhash64("c", F.lit(HUBS * seed + i))).alias(f"hub{i}") for i in range(HUBS)])
+    hub = hubs.select("t", F.explode(F.array_distinct(F.array(*[f"hub{i}" for i in range(HUBS)]))).alias("hub"))
+    hub = hub.select("t", *[F.col(f"hub.{f}").alias(f"h{f}") for f in MEMBER])
     return _named(lists, "x").join(hub, "t").filter(_cond("x", "h")).select(*_pairs("x", "h")).distinct()
 
 
@@ -335,7 +372,7 @@ def link_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     t, rank = t[order], rank[order]
 
     classes = materialize(rows.groupBy(F.col("c1").alias("c")).agg(
-        F.min("doc_id").alias("least"), F.max(F.struct("doc_id", "digest")).alias("one"), F.min("n").alias("n"),
+        F.min("doc_id").alias("least"), F.max(F.struct("doc_id", "digest")).alias("one"), *[F.min(b).alias(b) for b in PARITY],
         F.min("c2").alias("x"), F.max("c2").alias("y")), "jaccard-classes")
     if classes.filter("x != y").limit(1).count():
         raise ValueError("two different shingle sets share half of their digest")
@@ -343,13 +380,8 @@ def link_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     salt = F.when(F.col("t") < 0, F.pmod("c", F.lit(SALTS))).otherwise(F.lit(0))
     postings = d.select("text").mapInArrow(_postings(t, rank), POSTING)
     lists = postings.repartition(F.col("t"), salt).sortWithinPartitions("t", "c").mapInArrow(_shared, POSTING)
-    lists = materialize(lists.select("t", "c", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(0xFFFFFFFF).alias("pos")),
-                        "jaccard-lists")
-    wanted = lists.select("c").distinct().join(classes, "c").select("c", "one.*")
-    w = wanted.select("c", F.col("doc_id").alias("i"), F.col("digest").alias("g"))
-    texts = d.join(w, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("g"))).select("c", "text")
-    sets = materialize(texts.mapInArrow(_fragments(t, rank), "c bigint, fragment int, keys binary"), "jaccard-fragments")
-
+    lists = lists.select("t", "c", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(0xFFFFFFFF).alias("pos"))
+    lists = materialize(lists.join(classes.select("c", *PARITY), "c"), "jaccard-lists")
     stars = None
     for turn in range(STARS + 1):
         if stars is None:
@@ -358,7 +390,7 @@ def link_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             of = stars.select(F.col("u").alias("c"), F.col("v").alias("m"))
             now = lists.join(of, "c", "left").withColumn("comp", F.coalesce("m", "c")).drop("m")
         pairs = materialize(star_pairs(now, turn) if turn < STARS else cross_pairs(now), "jaccard-pairs")
-        edges = links(pairs, sets)
+        edges = links(pairs, pair_sets(d, classes, pairs, t, rank))
         stars = components(edges if stars is None else stars.unionAll(edges))
 
     of = stars.select(F.col("u").alias("c"), F.col("v").alias("m"))
@@ -370,4 +402,5 @@ def link_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def _with_digest(d: DataFrame) -> DataFrame:
-    return d.mapInArrow(_classes, "kind int, doc_id bigint, digest bigint, n bigint, c1 bigint, c2 bigint")
+    return d.mapInArrow(_classes, "kind int, doc_id bigint, digest bigint, n bigint, c1 bigint, c2 bigint, "
+                          + ", ".join(f"{b} bigint" for b in PARITY))
