@@ -15,7 +15,7 @@ def _plan(df) -> str:
 
 
 def test_folds_scan_is_pruned(spark):
-    plan = _plan(catalog.QUERIES["folds_label"](spark, SF))
+    plan = _plan(catalog.QUERIES["folds_regression"](spark, SF))
     scans = [line for line in plan.splitlines() if "FileScan parquet" in line and "documents.parquet" in line]
     assert scans, plan
     for s in scans:
@@ -57,3 +57,40 @@ def test_bucket_digits_follow_group_bound():
         d = digits_for_groups(g)
         assert 2 <= d <= 4
         assert g * 16 ** d <= BUCKET_TABLE_BUDGET or d == 2
+
+
+def test_equal_lengths_are_cut_by_position(spark):
+    from textfold.operators.batching import block_shuffle
+    from textfold.plans.ordering import range_buckets, range_rank
+
+    n = 5000
+    df = spark.range(n).select(F.col("id").cast("string").alias("row_id"), F.lit(7).alias("len"),
+                               F.md5(F.col("id").cast("string")).alias("k"), F.col("id").alias("pos"))
+    points, ties = range_buckets(df, ["len", "pos"], n_buckets=16)
+    assert points == [7.0] and len(ties[7.0]) >= 14
+    ranked = range_rank(df, ["len", "pos"], splits=(points, ties))
+    assert ranked.filter("_rank != pos").count() == 0
+    got = block_shuffle(df, 8, "len", "k", sort_bs_num=None).groupBy("batch").count().collect()
+    assert len(got) == n // 8 and all(r["count"] == 8 for r in got)
+
+
+def test_encoding_does_not_regroup(spark):
+    from textfold.operators import tokens
+
+    df = spark.createDataFrame([("a", ["x", "y", "x"]), ("b", []), ("c", None), ("d", ["zz"])], "row_id string, toks array<string>")
+    vocab = spark.createDataFrame([("x", 5), ("y", 6)], "token string, id int")
+    e = tokens.encode(df, vocab, "toks", vocab_size_bound=10)
+    assert {r.row_id: r.input_ids for r in e.collect()} == {"a": [5, 6, 5], "b": [], "c": [], "d": [tokens.UNK_ID]}
+    assert "Exchange" not in _plan(e)
+    assert {r.row_id: r.input_ids for r in tokens.encode(df, vocab, "toks").collect()} == {r.row_id: r.input_ids for r in e.collect()}
+
+
+def test_out_of_fold_scoring_reads_one_fold(spark):
+    from textfold.operators import scoring
+
+    w = spark.createDataFrame([("m", f, t, 10 * f + (t == "x")) for f in range(3) for t in ("x", "y", scoring.BIAS_TOKEN)]
+                              , "model string, fold int, token string, w bigint")
+    rows = spark.createDataFrame([("a", ["x", "x", "q"], 2), ("b", [], 1)], "row_id string, toks array<string>, kfold int")
+    own = {(r.row_id, r.fold): r.logit_milli for r in scoring.score_own_fold(rows, "toks", w).collect()}
+    all_ = {(r.row_id, r.fold): r.logit_milli for r in scoring.score_models(rows, "toks", w).collect()}
+    assert own == {("a", 2): 62, ("b", 1): 10} and own.items() <= all_.items() and len(all_) == 6

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.hashing import hash_key
-from ..plans.ordering import hash_rank, range_rank
+from ..plans.ordering import hash_rank, range_buckets, range_rank
 from .folds import row_count
 
 
@@ -35,8 +35,10 @@ def block_shuffle(df: DataFrame, bs: int, length_col: str, order_key: str, key:
     body = d.filter(~F.col("__tail"))
     if sort_bs_num is None:
         # One block over all rows: a distributed range sort, never one window partition.
-        body = body.withColumn("__neg", -F.col(length_col).cast("bigint"))
-        body = range_rank(body, ["__neg", "__r"], out="__g").drop("__neg")
+        # Split points come from the base table; ties in length are cut by the shuffled position.
+        neg = -F.col(length_col).cast("bigint")
+        splits = range_buckets(df.select(neg.alias("__neg")), ["__neg", "__r"], second_range=(0.0, float(df.count())))
+        body = range_rank(body.withColumn("__neg", neg), ["__neg", "__r"], out="__g", splits=splits).drop("__neg")
     else:
         blk = sort_bs_num * bs  # a block is bounded, so a window per block is cheap
         body = body.withColumn("__blk", F.floor(F.col("__r") / blk))

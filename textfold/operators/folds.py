@@ -53,9 +53,8 @@ def cut(df: DataFrame, col: str, bins, out: str = "bin") -> DataFrame:
     ``ceil(bins/2) - 1``, where the value falls when the range is widened around it.
     """
     k = F.lit(bins) if isinstance(bins, int) else bins
-    stats = df.select(F.min(col).cast("double").alias("mn"), F.max(col).cast("double").alias("mx"))
-    mn = stats.select("mn").scalar()
-    mx = stats.select("mx").scalar()
+    both = df.select(F.struct(F.min(col).cast("double").alias("mn"), F.max(col).cast("double").alias("mx")).alias("s")).scalar()
+    mn, mx = both["mn"], both["mx"]
     x = F.col(col).cast("double")
     b = F.when(mx == mn, F.ceil(k / F.lit(2.0)) - 1).otherwise(
         F.greatest(F.ceil((x - mn) * k / (mx - mn)) - 1, F.lit(0)))

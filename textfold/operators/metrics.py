@@ -55,16 +55,20 @@ def oof_rows(pred: DataFrame, truth: DataFrame, label: str = "label", key: str =
 def oof_accuracy(pred: DataFrame, truth: DataFrame, label: str = "label", key: str = "row_id",
                  fold_col: str = "kfold", by: Sequence[str] = ("model",)) -> DataFrame:
     """H5: out-of-fold accuracy per fold: each row scored by the model of its own fold."""
-    j = oof_rows(pred, truth, label, key, fold_col)
+    return accuracy(oof_rows(pred, truth, label, key, fold_col), label, by)
+
+
+def accuracy(oof: DataFrame, label: str = "label", by: Sequence[str] = ("model",)) -> DataFrame:
+    """H5 on predictions that are out-of-fold already (``scoring.score_own_fold``)."""
     hit = (decide(F.col("logit")) == F.col(label).cast("int")).cast("int")
-    return j.groupBy(*by, "fold").agg(F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("n_rows"))
+    return oof.groupBy(*by, "fold").agg(F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def cv_summary(scores: DataFrame, metric: str, fold_col: str = "fold", by: Sequence[str] = ()) -> DataFrame:
     """H6: mean of fold scores, with the scores in fold order."""
     return scores.groupBy(*by).agg(F.avg(metric).alias(f"mean_{metric}"),
                       F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(fold_col, metric))),
-                                               lambda s: F.format_number(s[metric], 6)), ",").alias("per_fold"),
+                                               lambda s: F.format_string("%.6f", s[metric])), ",").alias("per_fold"),
                       F.count(F.lit(1)).alias("n_folds"))
 
 

@@ -22,16 +22,6 @@ BIAS_TOKEN = "\u0000bias"
 SCALE = 1000  # fixed-point scale of weights and logits
 
 
-def term_frequencies(df: DataFrame, tokens_col: str, key: str = "row_id", binary: bool = False) -> DataFrame:
-    """``(row_id, token, tf)`` with the bias pseudo-token (tf = 1) on every row."""
-    t = df.select(key, F.explode(tokens_col).alias("token"))
-    tf = t.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
-    if binary:
-        tf = tf.withColumn("tf", F.lit(1).cast("bigint"))
-    bias = df.select(key, F.lit(BIAS_TOKEN).alias("token"), F.lit(1).cast("bigint").alias("tf"))
-    return tf.unionByName(bias)
-
-
 def score_linear(rows: DataFrame, tokens_col: str, weights: DataFrame, key: str = "row_id",
                  binary: bool = False, weights_bound: int | None = None) -> DataFrame:
     """G1: ``logit = sum over the row's tokens of w / SCALE`` for every (model, fold) in
@@ -53,23 +43,63 @@ def score_linear(rows: DataFrame, tokens_col: str, weights: DataFrame, key: str
     return s.withColumn("logit", F.col("logit_milli") / F.lit(float(SCALE)))
 
 
+def _one_row_per_token(weights: DataFrame) -> tuple[DataFrame, list[tuple], dict[tuple, int]]:
+    """Weights with one column per (model, fold) and one row per token; the (model, fold) pairs; the bias of each.
+    The pairs are few by construction (models x folds)."""
+    bias = {(r["model"], r["fold"]): r["w"] for r in weights.filter(F.col("token") == BIAS_TOKEN).select("model", "fold", "w").collect()}
+    pairs = sorted({(r["model"], r["fold"]) for r in weights.select("model", "fold").distinct().collect()})
+    cols = [F.sum(F.when((F.col("model") == m) & (F.col("fold") == f), F.col("w"))).alias(f"w{i}") for i, (m, f) in enumerate(pairs)]
+    wide = weights.filter(F.col("token") != BIAS_TOKEN).groupBy("token").agg(*cols)
+    return wide, pairs, {p: int(bias.get(p, 0)) for p in pairs}
+
+
+def _entries(rows: DataFrame, tokens_col: str, keep: Sequence[str], any_binary: bool) -> DataFrame:
+    """One entry per token occurrence and, tagged ``binary``, one per distinct token. A row without tokens keeps one, empty."""
+    toks = F.coalesce(F.col(tokens_col), F.array().cast("array<string>"))
+    tagged = lambda a, flag: F.transform(a, lambda t: F.struct(t.alias("token"), F.lit(flag).alias("binary")))
+    entries = F.concat(tagged(toks, False), tagged(F.array_distinct(toks), True)) if any_binary else tagged(toks, False)
+    return rows.select(*keep, F.explode_outer(entries).alias("e")).select(*keep, "e.token", "e.binary")
+
+
 def score_models(rows: DataFrame, tokens_col: str, weights: DataFrame, binary_models=(),
                  key: str = "row_id", weights_bound: int | None = None) -> DataFrame:
-    """G1 for several models in one pass: count models see every occurrence, ``binary_models``
-    each distinct token once. Each row is tokenised and exploded once into tagged entries
-    ``(token, binary)``; the weight table gets the same tag per model, and the broadcast join
-    on ``(token, binary)`` sends each entry to exactly the models that read it.
+    """G1 for several models in one pass: count models see every occurrence, ``binary_models`` each distinct token once.
+
+    An occurrence meets one weight row, which holds the weights of all models and folds; a row's sums are one row of
+    the shuffle, and ``(model, fold)`` become rows at the very end, where the bias is added.
     """
-    base = F.concat(F.coalesce(F.col(tokens_col), F.array().cast("array<string>")), F.array(F.lit(BIAS_TOKEN)))
-    entries = F.concat(F.transform(base, lambda t: F.struct(t.alias("token"), F.lit(False).alias("binary"))),
-                       F.transform(F.array_distinct(base), lambda t: F.struct(t.alias("token"), F.lit(True).alias("binary"))))
-    binary = list(binary_models)
-    w = weights.select("model", "fold", "token", "w",
-                       (F.col("model").isin(binary) if binary else F.lit(False)).alias("binary"))
+    wide, pairs, bias = _one_row_per_token(weights)
     if weights_bound is not None and weights_bound <= 20_000_000:
-        w = F.broadcast(w)
-    e = rows.select(key, F.explode_outer(entries).alias("e")).select(key, "e.token", "e.binary")
-    s = e.join(w, ["token", "binary"]).groupBy(key, "model", "fold").agg(F.sum("w").alias("logit_milli"))
+        wide = F.broadcast(wide)
+    binary = set(binary_models)
+    e = _entries(rows, tokens_col, [key], bool(binary)).join(wide, "token", "left")
+    sums = [F.sum(F.when(F.col("binary") == (m in binary), F.col(f"w{i}"))).alias(f"w{i}") for i, (m, _) in enumerate(pairs)]
+    each = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(f).cast("int").alias("fold"),
+                              (F.coalesce(F.col(f"w{i}"), F.lit(0)) + bias[m, f]).cast("bigint").alias("logit_milli"))
+                     for i, (m, f) in enumerate(pairs)])
+    s = e.groupBy(key).agg(*sums).select(key, F.explode(each).alias("x")).select(key, "x.*")
+    return s.withColumn("logit", F.col("logit_milli") / F.lit(float(SCALE)))
+
+
+def score_own_fold(rows: DataFrame, tokens_col: str, weights: DataFrame, binary_models=(), key: str = "row_id",
+                   fold_col: str = "kfold", keep: Sequence[str] = (), weights_bound: int | None = None) -> DataFrame:
+    """G1 for out-of-fold metrics: each row by every model, of its own fold (``fold_col``) only. Returns key, model, fold,
+    ``keep`` and the logit."""
+    wide, pairs, bias = _one_row_per_token(weights)
+    models, k = sorted({m for m, _ in pairs}), max(f for _, f in pairs) + 1
+    number = {p: i for i, p in enumerate(pairs)}
+    none = F.lit(None).cast("bigint")
+    by_fold = [F.array(*[F.col(f"w{number[m, f]}") if (m, f) in number else none for f in range(k)]).alias(m) for m in models]
+    arrays = wide.select("token", *by_fold)
+    if weights_bound is not None and weights_bound <= 20_000_000:
+        arrays = F.broadcast(arrays)
+    binary = set(binary_models)
+    e = _entries(rows, tokens_col, [key, fold_col, *keep], bool(binary)).join(arrays, "token", "left")
+    sums = [F.sum(F.when(F.col("binary") == (m in binary), F.get(F.col(m), F.col(fold_col)))).alias(m) for m in models]
+    own = F.array(*[F.struct(F.lit(m).alias("model"), (F.coalesce(F.col(m), F.lit(0)) + F.get(F.array(
+        *[F.lit(bias.get((m, f), 0)) for f in range(k)]), F.col(fold_col))).cast("bigint").alias("logit_milli")) for m in models])
+    s = e.groupBy(key, fold_col, *keep).agg(*sums).filter((F.col(fold_col) >= 0) & (F.col(fold_col) < k))
+    s = s.select(key, F.col(fold_col).alias("fold"), *keep, F.explode(own).alias("x")).select(key, "x.model", "fold", *keep, "x.logit_milli")
     return s.withColumn("logit", F.col("logit_milli") / F.lit(float(SCALE)))
 
 
@@ -81,17 +111,23 @@ def score_with(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInPandas(fn, schema)
 
 
-def check_complete(pred: DataFrame, key: str = "row_id") -> DataFrame:
-    """Predictions are keyed, so padding rows cannot exist; a duplicate (row, model, fold)
-    raises at run time instead of being silently averaged."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(key, "model", "fold"))
-    return pred.withColumn("logit", F.when(n > 1, F.raise_error(F.lit("duplicate prediction")).cast("double"))
-                           .otherwise(F.col("logit")))
-
-
 def drop_padding(pred: DataFrame, key: str = "row_id") -> DataFrame:
-    """Drop repeated (row, model, fold) predictions, as a sampler's padding rows would be."""
-    return pred.dropDuplicates([key, "model", "fold"])
+    """One prediction per (row, model, fold). A sampler's padding repeats a row with the same value; two different
+    values for one key raise instead of one of them being lost."""
+    two = F.min("logit") != F.max("logit")
+    one = F.when(two, F.raise_error(F.lit("two different predictions for one row, model and fold")).cast("double"))
+    return pred.groupBy(key, "model", "fold").agg(one.otherwise(F.min("logit")).alias("logit"))
+
+
+def completeness(pred: DataFrame, rows: DataFrame, n_folds: int, key: str = "row_id") -> DataFrame:
+    """One row per model with the predictions there are, those there should be (rows x folds), and how many
+    (row, fold) are missing or repeated."""
+    per = pred.groupBy("model", key, "fold").agg(F.count(F.lit(1)).alias("n"))
+    expected = rows.agg(F.count(F.lit(1)).alias("n")).scalar() * n_folds
+    return per.groupBy("model").agg(F.sum("n").alias("n_predictions"), F.count(F.lit(1)).alias("n_keys"),
+                                    F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).alias("n_repeated")).select(
+        "model", "n_predictions", expected.cast("bigint").alias("n_expected"),
+        (expected - F.col("n_keys")).cast("bigint").alias("n_missing"), F.col("n_repeated").cast("bigint").alias("n_repeated"))
 
 
 def model_family(path: Column) -> Column:

@@ -1,10 +1,10 @@
 """Token sequences as array columns.
 
 Tokenisation is a regular expression evaluated in the JVM; the vocabulary is a
-top-k aggregate over the corpus, so it has a proven size bound and may be
-broadcast. Encoding explodes tokens with their positions, joins the vocabulary
-map-side and regroups per row; partial aggregation collapses each row's tokens
-inside the map task, so the shuffle moves one id array per row.
+top-k aggregate over the corpus, so it has a proven size bound. A row's tokens are
+together already, so encoding maps them in place: an Arrow batch function looks all
+tokens of a batch up in the vocabulary at once, without a shuffle. A vocabulary too
+large to send to every task is joined instead, token by token.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ PAD_ID, UNK_ID, CLS_ID, SEP_ID, MASK_ID = 0, 1, 2, 3, 4
 SPECIAL_TOKENS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
 N_SPECIAL = len(SPECIAL_TOKENS)
 IGNORE_LABEL = -100
-# Largest vocabulary we broadcast; beyond it the encode join is a shuffle join.
-MAX_BROADCAST_VOCAB = 5_000_000
+# Largest vocabulary sent to the tasks (tens of MB); beyond it the encode join is a shuffle join.
+MAX_LOCAL_VOCAB = 1_000_000
 
 
 def tokenize(col: Column, pattern: str = TOKEN_PATTERN) -> Column:
@@ -56,14 +56,47 @@ def fit_vocab(df: DataFrame, tokens_col: str, size: int) -> DataFrame:
     return to_local(build_vocab(df, tokens_col, size), size)
 
 
+def encode_columns(df: DataFrame, vocab: DataFrame, columns: dict[str, str], key: str = "row_id") -> DataFrame:
+    """F1 in place: token arrays (names of ``columns``) become id arrays (their values), unknown tokens ``UNK_ID``.
+
+    ``vocab`` is a fitted vocabulary of at most ``MAX_LOCAL_VOCAB`` rows (checked). Returns key and the id arrays.
+    """
+    v = vocab.select("token", "id").limit(MAX_LOCAL_VOCAB + 1).toArrow()
+    if v.num_rows > MAX_LOCAL_VOCAB:
+        raise ValueError(f"a vocabulary of more than {MAX_LOCAL_VOCAB} tokens is joined: use encode without a bound")
+    known, ids = v["token"].combine_chunks(), v["id"].combine_chunks().cast("int32")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            out = [batch[key]]
+            for c in columns:
+                flat = batch[c].flatten()
+                if pa.types.is_large_string(flat.type):
+                    flat = flat.cast(pa.string())
+                found = pc.fill_null(ids.take(pc.index_in(flat, value_set=known)), UNK_ID)
+                n = pc.fill_null(pc.list_value_length(batch[c]), 0).to_numpy()
+                off = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(off), found))
+            yield pa.RecordBatch.from_arrays(out, [key, *columns.values()])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, *columns).mapInArrow(run, ", ".join([f"{key} {kind}", *(f"{o} array<int>" for o in columns.values())]))
+
+
 def encode(df: DataFrame, vocab: DataFrame, tokens_col: str, key: str = "row_id",
            out: str = "input_ids", vocab_size_bound: int | None = None) -> DataFrame:
-    """map tokens to ids (unknown -> ``UNK_ID``), keeping token order. Returns ``key, out``."""
+    """map tokens to ids (unknown -> ``UNK_ID``), keeping token order. Returns ``key, out``.
+
+    With a bound of at most ``MAX_LOCAL_VOCAB`` tokens they are mapped in place, else by a shuffled join.
+    """
+    if vocab_size_bound is not None and vocab_size_bound <= MAX_LOCAL_VOCAB:
+        return encode_columns(df, vocab, {tokens_col: out}, key)
     toks = df.select(key, F.posexplode_outer(tokens_col).alias("pos", "token"))
-    v = vocab.select("token", "id")
-    if vocab_size_bound is not None and vocab_size_bound <= MAX_BROADCAST_VOCAB:
-        v = F.broadcast(v)
-    j = toks.join(v, "token", "left")
+    j = toks.join(vocab.select("token", "id"), "token", "left")
     pairs = F.when(F.col("pos").isNotNull(),
                    F.struct(F.col("pos"), F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("id")))
     agg = j.groupBy(key).agg(F.array_sort(F.collect_list(pairs)).alias("__p"))

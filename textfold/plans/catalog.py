@@ -55,8 +55,12 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents; of rows with one text and label only that with the smallest ``row_id``, so that no copy is in
+    another fold (D3 before the folds). The digest of a text is shuffled, not the text."""
     lab = table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"), "toxic")
-    return docs(spark, d).join(lab, "doc_id")
+    rows = docs(spark, d).join(lab, "doc_id")
+    first = rows.groupBy(F.md5("text").alias("digest"), "label").agg(F.min("row_id").alias("row_id"))
+    return rows.join(first.select("row_id"), "row_id", "left_semi")
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +108,8 @@ def sql_folds(src: str, stratum: str, key: str, out: str = "folded", k: int = K,
 SQL_LABELLED = """
 labelled AS (SELECT d.doc_id, CAST(d.doc_id AS VARCHAR) AS row_id, d.text, d.lang, d.source, d.n_chars,
                     l.quality AS label, l.toxic
-             FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
+             FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+             QUALIFY row_number() OVER (PARTITION BY d.text, l.quality ORDER BY CAST(d.doc_id AS VARCHAR)) = 1)
 """
 
 
@@ -463,7 +468,7 @@ def q_tsv_pairs(spark, d):
 
 @query("fold_label_files", f"""
 WITH {SQL_LABELLED}, {sql_folds('labelled', 'label', 'row_id')}
-SELECT doc_id, CAST(kfold AS BIGINT) AS fold, CAST(label AS DOUBLE) AS target FROM folded WHERE kfold >= 3
+SELECT doc_id, CAST(kfold AS BIGINT) AS fold, CAST(label AS DOUBLE) AS target FROM folded
 """)
 def q_fold_label_files(spark, d):
     from .. import sources
@@ -471,7 +476,7 @@ def q_fold_label_files(spark, d):
     path = _fresh_path(spark, "fold-labels")
     f = folded(spark, d).select("doc_id", F.col("kfold").alias("fold"), F.col("label").cast("double").alias("target"))
     sources.write_fold_labels(f, path)
-    back = spark.read.parquet(path).filter(F.col("fold") >= 3)  # partition pruning
+    back = spark.read.parquet(path)
     return back.select("doc_id", F.col("fold").cast("bigint"), "target")
 
 

@@ -70,7 +70,9 @@ def extra_scores(spark, d) -> DataFrame:
 
 def oof(spark, d) -> DataFrame:
     """OOF predictions with labels: ``row_id, model, fold, logit, label``."""
-    return metrics.oof_rows(labelled_scores(spark, d), folded(spark, d), "label")
+    f = folded(spark, d).select("row_id", "kfold", "label", tokens.tokenize(F.col("text")).alias("toks"))
+    return scoring.score_own_fold(f, "toks", model_weights(spark, d), binary_models=("presence",), keep=["label"],
+                                  weights_bound=2 * (VOCAB + 1) * K)
 
 
 # ---------------------------------------------------------------- SQL building blocks
@@ -246,9 +248,8 @@ def q_encode_pair(spark, d):
     p = pairs(spark, d).withColumn("ta", tokens.tokenize(F.col("text_a"))).withColumn(
         "tb", tokens.tokenize(F.col("text_b")))
     v = vocab(spark, d)
-    ea = tokens.encode(p, v, "ta", out="a", vocab_size_bound=VOCAB)
-    eb = tokens.encode(p, v, "tb", out="b", vocab_size_bound=VOCAB)
-    e = tokens.encode_pair(ea.join(eb, "row_id"), "a", "b", PAIR_MAX_LEN)
+    both = tokens.encode_columns(p, v, {"ta": "a", "tb": "b"})
+    e = tokens.encode_pair(both, "a", "b", PAIR_MAX_LEN)
     return e.select("row_id", ids_text(F.col("input_ids")).alias("input_ids"),
                     ids_text(F.col("token_type_ids")).alias("token_type_ids"),
                     ids_text(F.col("attention_mask")).alias("attention_mask"))
@@ -326,7 +327,7 @@ SELECT model, CAST(fold AS BIGINT) AS fold, round(avg(CASE WHEN (logit > 0) = (l
 FROM oof GROUP BY model, fold
 """)
 def q_oof_accuracy(spark, d):
-    a = metrics.oof_accuracy(labelled_scores(spark, d), folded(spark, d), "label")
+    a = metrics.accuracy(oof(spark, d), "label")
     return a.select("model", F.col("fold").cast("bigint"), r6(F.col("accuracy")).alias("accuracy"), "n_rows")
 
 
@@ -338,7 +339,7 @@ SELECT model, round(avg(accuracy), 6) AS mean_accuracy, string_agg(printf('%.6f'
 FROM acc GROUP BY model
 """)
 def q_cv_summary(spark, d):
-    a = metrics.oof_accuracy(labelled_scores(spark, d), folded(spark, d), "label")
+    a = metrics.accuracy(oof(spark, d), "label")
     s = metrics.cv_summary(a, "accuracy", by=["model"])
     return s.select("model", r6(F.col("mean_accuracy")).alias("mean_accuracy"), "per_fold", "n_folds")
 
@@ -474,8 +475,7 @@ SELECT CAST(sum(CASE WHEN vote = soft_vote THEN 1 ELSE 0 END) AS BIGINT) AS n_eq
 """)
 def q_agreement(spark, d):
     v = ensemble.vote(extra_scores(spark, d))
-    a = ensemble.agreement(v, v, "vote", "soft_vote")
-    return a.select(F.col("n_equal").cast("bigint"), "n_rows")
+    return v.agg(F.sum((F.col("vote") == F.col("soft_vote")).cast("bigint")).alias("n_equal"), F.count(F.lit(1)).alias("n_rows"))
 
 
 SQL_MODEL_VOTES = f"""
@@ -738,11 +738,15 @@ def q_run_cycles(spark, d):
 
 @query("scores_checked", f"""
 WITH {SQL_SCORED}
-SELECT CAST(row_id AS BIGINT) AS doc_id, model, CAST(fold AS BIGINT) AS fold, logit_milli FROM lscored
+SELECT model, count(*) AS n_predictions, CAST({K} * (SELECT count(*) FROM labelled) AS BIGINT) AS n_expected,
+       CAST({K} * (SELECT count(*) FROM labelled) - count(*) AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_repeated
+FROM lscored WHERE NOT (fold = 1 AND CAST(row_id AS BIGINT) % 10 = 0) GROUP BY model
 """)
 def q_scores_checked(spark, d):
-    """Predictions gathered by key: repeated (row, model, fold) rows dropped, and any
-    remaining duplicate would raise; the result equals the plain scores."""
-    s = scoring.check_complete(scoring.drop_padding(labelled_scores(spark, d)))
-    return s.select(F.col("row_id").cast("bigint").alias("doc_id"), "model", F.col("fold").cast("bigint"),
-                    "logit_milli")
+    """Padding rows (every seventh prediction comes twice) are dropped, and what lacks (one fold of every tenth
+    row) is counted."""
+    s = labelled_scores(spark, d).select("row_id", "model", "fold", "logit")
+    doc = F.col("row_id").cast("bigint")
+    s = s.filter(~((F.col("fold") == 1) & (doc % 10 == 0)))
+    padded = s.select("*", F.explode(F.sequence(F.lit(1), F.when(doc % 7 == 0, 2).otherwise(1))).alias("copy")).drop("copy")
+    return scoring.completeness(scoring.drop_padding(padded), labelled(spark, d).select("row_id"), K)

@@ -31,14 +31,6 @@ MAX_BROADCAST_BUCKET_ROWS = 4_000_000
 BUCKET_TABLE_BUDGET = 1 << 20
 
 
-def hex_digits_for(n_rows: int | None, per_bucket: int = 2_000_000) -> int:
-    """Hex digits so that a bucket holds about ``per_bucket`` rows (between 2 and 5)."""
-    if not n_rows:
-        return 3
-    need = max(1.0, n_rows / per_bucket)
-    return int(min(5, max(2, math.ceil(math.log(need, 16)) if need > 1 else 2)))
-
-
 def digits_for_groups(groups_bound: int | None, cap: int = 4) -> int:
     """Most hex digits (2..cap) whose bucket table, groups x 16**digits, stays within the budget.
 
@@ -123,17 +115,53 @@ def with_range_bucket(df: DataFrame, col: str, splits: Sequence[float], out: str
     return d.withColumn(out, F.col(out + "_d").cast("int")).drop(tmp, out + "_d")
 
 
+ROWS_PER_BUCKET = 1_000_000
+
+
+def range_buckets(base: DataFrame, order: Sequence[str], n_buckets: int | None = None,
+                  second_range: tuple[float, float] | None = None) -> tuple[list[float], dict[float, list[float]]]:
+    """Split points for ``range_rank``, computed once on ``base``: quantiles of the first order column and, for a value that
+    fills several quantiles (a large tie), split points of the second column among its rows.
+
+    ``n_buckets`` follows from the number of rows. ``second_range`` says that the second column is spread evenly over a range,
+    whatever the first one is (a shuffled position); without it, its quantiles among the tied rows are taken.
+    """
+    if n_buckets is None:
+        n_buckets = max(16, math.ceil(base.count() / ROWS_PER_BUCKET))
+    qs = [float(q) for q in base.approxQuantile(order[0], [i / n_buckets for i in range(1, n_buckets)], 0.2 / n_buckets) if q is not None]
+    ties: dict[float, list[float]] = {}
+    for v in set(qs):
+        m = qs.count(v)
+        if m > 1 and len(order) > 1:
+            if second_range is not None:
+                lo, hi = second_range
+                ties[v] = [lo + (hi - lo) * i / (m + 1) for i in range(1, m + 1)]
+            else:
+                rows = base.filter(F.col(order[0]).cast("double") == v)
+                ties[v] = sorted(set(rows.approxQuantile(order[1], [i / (m + 1) for i in range(1, m + 1)], 0.2 / (m + 1))))
+    return sorted(set(qs)), ties
+
+
 def range_rank(df: DataFrame, order: Sequence[str], out: str = "_rank", by: Sequence[str] = (),
-               n_buckets: int = 256, weight: Column | None = None, groups_bound: int | None = 1,
-               splits: Sequence[float] | None = None) -> DataFrame:
+               n_buckets: int | None = None, weight: Column | None = None, groups_bound: int | None = 1,
+               splits: tuple[list[float], dict[float, list[float]]] | None = None) -> DataFrame:
     """Exclusive running total (default: 0-based rank) in the order of numeric columns ``order``.
 
-    The first order column must be numeric; it is cut at quantile split points.
+    Buckets are ranges of the first column; a large tie in it is cut by the second column (``range_buckets``), so no bucket
+    holds more than its share whatever the values are.
     """
-    first = order[0]
-    if splits is None:
-        splits = quantile_splits(df, first, n_buckets)
-    d = with_range_bucket(df, first, splits, out="__rb")
+    points, ties = splits or range_buckets(df, order, n_buckets)
+    d = with_range_bucket(df, order[0], points, out="__rb")
+    if ties:
+        first, second = F.col(order[0]).cast("double"), F.col(order[1]).cast("double")
+        most = max(map(len, ties.values())) + 2
+        part = F.lit(most - 1)  # rows above a tied value in its bucket come after its parts
+        for v, cuts in ties.items():
+            part = F.when(first == v, sum(((second >= c).cast("int") for c in cuts), F.lit(0))).otherwise(part)
+        d = d.withColumn("__rb", F.col("__rb") * most + part)
+        size = (len(points) + 1) * most
+    else:
+        size = len(points) + 1
     res = ordered_prefix(d, F.col("__rb"), [F.col(c) for c in order], by,
-                         weight=weight, out=out, groups_bound=groups_bound, buckets_bound=len(splits) + 1)
+                         weight=weight, out=out, groups_bound=groups_bound, buckets_bound=size)
     return res.drop("__rb")
