@@ -12,7 +12,7 @@ hash, with their whole texts. Labels are read for these alone; a prediction sees
 Defined results: a null text or one without a letter is ``und`` with score 0; a script that no language
 was seen in leaves all languages possible; without any training document every text is ``und``; null
 ``doc_id`` is neither learned from nor held out; repeated rows get equal results; further columns are
-ignored; an empty table gives no rows. Viterbi runs over all texts of an Arrow batch at once, word
+ignored; an empty table gives no rows. Viterbi runs over all texts of a few MB at once, word
 position by word position, so one very long text costs a step per word and no more memory than its words.
 """
 
@@ -33,7 +33,8 @@ SMOOTH = 0.5
 FLOOR = -4.0
 SWITCH = 6.0
 SCRIPT_SHARE = 0.01
-READ_BYTES = 4 << 20
+READ_BYTES = 2 << 20
+LABEL_BYTES = 8 << 20
 MEMO_ENTRIES = 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -244,9 +245,10 @@ def label_languages(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         label = Labeller(model)
         for batch in batches:
-            if batch.num_rows:
-                pred, score, spans = label(batch["text"])
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], pred, pa.array(score), spans],
+            for a, b in slices(batch["text"], LABEL_BYTES):
+                part = batch.slice(a, b - a)
+                pred, score, spans = label(part["text"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pred, pa.array(score), spans],
                                                  ["doc_id", "lang_pred", "score", "spans"])
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
         run, "doc_id bigint, lang_pred string, score double, spans array<struct<first_word: int, end_word: int, lang: string>>")
@@ -257,8 +259,9 @@ def keep_languages(docs: DataFrame, model: Model, least_score: float) -> DataFra
     def run(batches):
         label = Labeller(model)
         for batch in batches:
-            if batch.num_rows:
-                pred, score, _ = label(batch["text"])
+            for a, b in slices(batch["text"], LABEL_BYTES):
+                part = batch.slice(a, b - a)
+                pred, score, _ = label(part["text"])
                 kept = pa.array((score >= least_score) & (pred.to_numpy(zero_copy_only=False) != "und"))
-                yield batch.filter(kept)
+                yield part.filter(kept)
     return docs.mapInArrow(run, docs.schema)

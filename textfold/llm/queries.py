@@ -108,3 +108,40 @@ def op9_token_counts(spark, sf_dir):
 def op10_jaccard_join(spark, sf_dir):
     """Components of documents whose shingle sets are similar."""
     return jaccard_join.link_documents(_table(spark, sf_dir, "documents"))
+
+
+def _pareto_sql(seed: int = pareto_mix.SEED, fills: int = pareto_mix.FILLS) -> str:
+    """The mix with plain windows: each source is sorted as a whole."""
+    key = "odds, u, doc_id, size"
+    rounds = ""
+    for i in range(fills):
+        rounds += f"""
+c{i} AS (SELECT *, (NOT t) AND size <= {'open' if i else "'inf'::DOUBLE"} AND sum(CASE WHEN NOT t AND size <= {'open' if i else "'inf'::DOUBLE"}
+           THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY {key}) <= open AS now FROM r{i}),
+r{i + 1} AS (SELECT * EXCLUDE (t, open, now), t OR now AS t, open - sum(CASE WHEN now THEN size ELSE 0 END) OVER (PARTITION BY source) AS open FROM c{i}),"""
+    return f"""
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+wt AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, CAST(source_size * 3 AS DOUBLE) AS f FROM src),
+lv AS (SELECT *, f / weight AS fills_at, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(f) OVER o, 0)) /
+         (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level FROM wt
+       WINDOW o AS (ORDER BY f / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+tg AS (SELECT *, least(f, weight * (SELECT arg_min(level, fills_at) FROM lv WHERE level <= fills_at)) AS target FROM lv),
+tg2 AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS certain FROM tg),
+tg3 AS (SELECT source, source_size, target, certain, target - certain * source_size AS open,
+               CASE WHEN source_size > 0 THEN (target - certain * source_size) / source_size ELSE 0 END AS p FROM tg2),
+d AS (SELECT s.doc_id, s.source, s.size, t.source_size, t.target, t.certain, t.open, t.p,
+             (CAST(('0x' || substr(md5('{seed}|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT AS DOUBLE) + 0.5) / 4503599627370496.0 AS u
+      FROM sized s JOIN tg3 t ON s.source IS NOT DISTINCT FROM t.source),
+r0 AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS odds, FALSE AS t FROM d WHERE p > 0 AND size > 0),{rounds}
+x AS (SELECT source, min(struct_pack(a := odds, b := u, c := doc_id, e := size)) AS k FROM r{fills}
+      WHERE NOT t AND size > open AND size < 2 * open GROUP BY source),
+got AS (SELECT doc_id, r.source, size, u FROM r{fills} r LEFT JOIN x ON x.source IS NOT DISTINCT FROM r.source
+        WHERE t OR struct_pack(a := odds, b := u, c := doc_id, e := size) = x.k)
+SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies AS BIGINT) AS copies, CAST(size * copies AS BIGINT) AS taken
+FROM (SELECT d.*, CASE WHEN size > 0 THEN certain + CASE WHEN EXISTS (SELECT 1 FROM got g WHERE g.doc_id = d.doc_id AND g.size = d.size
+  AND g.source IS NOT DISTINCT FROM d.source) THEN 1 ELSE 0 END ELSE 0 END AS copies FROM d)
+"""
+
+
+ORACLE["op8_pareto_mix"] = _pareto_sql()

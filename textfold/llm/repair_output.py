@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .shared import scratch
 from .words import slices
 
-SHARD_IDS = 1 << 21
-ENCODE_BYTES = 8 << 20
-MEMO_ENTRIES = 300_000
+SHARD_IDS = 1 << 20
+ENCODE_BYTES = 2 << 20
+MEMO_ENTRIES = 250_000
 END_ID = 1
 LEAST_COUNT = 16
 LARGEST_SHARE = 1 / 1000
