@@ -177,6 +177,11 @@ def test_constant_slots_of_a_host_are_template(spark):
     assert {r["text"] for r in wrapper_extract.extract_pages(copies).collect()} == {"Our site motto Story 0 about things All the best"}
 
 
+def test_names_about_neighbours_stay():
+    page = "<body class='has-sidebar'><div class='post with-sidebar'><p>text</p></div><div class='rightSidebar'>x</div></body>"
+    assert wrapper_extract.extract(page, None) == "text"
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     rows = [(1, None, None), (2, "", ""), (3, "no url", "just text &amp; more"), (4, "http://a/", "<article>cut <p>off <foot"),
