@@ -20,6 +20,8 @@ import math
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import small_batches
+
 EDIT_SHARE = 0.05
 LEAST_CHARS = 20
 BLOCK_BYTES = 8 << 20
@@ -121,7 +123,7 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES):
 def find_items(docs: DataFrame, items: DataFrame, edit_share: float = EDIT_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, distance) of each benchmark item within its error budget in a document, with its least distance.
     ``items`` has item_id and text."""
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    d = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     out = None
     for block in item_blocks(items, block_bytes):
         def run(batches, block=block):
@@ -138,6 +140,7 @@ def find_items(docs: DataFrame, items: DataFrame, edit_share: float = EDIT_SHARE
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, edit_share: float = EDIT_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, without those that hold a benchmark item within its error budget."""
+    small_batches(docs)
     for block in item_blocks(items, block_bytes):
         def run(batches, block=block):
             matcher = Matcher(block, edit_share)

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .shared import small_batches
 from .words import slices
 
 FIT_DOCS = 4000
@@ -105,7 +106,7 @@ class Model:
 
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     """Learn from documents with a language that aren't held out. ``docs`` has doc_id, text, lang."""
-    train = docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()
+    train = small_batches(docs).filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()
                         & F.col("text").isNotNull())
     sizes = train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()
     if len(sizes) > MOST_LANGUAGES:
@@ -250,7 +251,7 @@ def label_languages(docs: DataFrame, model: Model) -> DataFrame:
                 pred, score, spans = label(part["text"])
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pred, pa.array(score), spans],
                                                  ["doc_id", "lang_pred", "score", "spans"])
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
+    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
         run, "doc_id bigint, lang_pred string, score double, spans array<struct<first_word: int, end_word: int, lang: string>>")
 
 
@@ -264,4 +265,4 @@ def keep_languages(docs: DataFrame, model: Model, least_score: float) -> DataFra
                 pred, score, _ = label(part["text"])
                 kept = pa.array((score >= least_score) & (pred.to_numpy(zero_copy_only=False) != "und"))
                 yield part.filter(kept)
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -20,6 +20,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import small_batches
+
 # Notices of public licences, by SPDX identifier.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.",
@@ -134,6 +136,6 @@ def _scan(templates: dict[str, list[str]]):
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """(doc_id, at, license, saved, n_different, n_words): each licence notice found, at its line's offset in code points."""
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("text").rlike(CUES))
+    d = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("text").rlike(CUES))
     return d.mapInArrow(_scan(templates or TEMPLATES),
                         "doc_id bigint, at bigint, license string, saved double, n_different bigint, n_words bigint")

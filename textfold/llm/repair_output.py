@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import scratch
+from .shared import scratch, small_batches
 from .words import slices
 
 SHARD_IDS = 1 << 20
@@ -297,7 +297,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END
     """Encode ``docs`` (doc_id, text) and write the shards to the Parquet folder ``path`` in doc_id order."""
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    d = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     d.mapInArrow(_encode_part(tokenizer_path, end_id, shard_ids), FILE_SCHEMA).write.parquet(path)
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import small_batches
 from .words import Words, slices, text_bytes
 
 WINDOW = 13
@@ -232,7 +233,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER_WORDS,
                    bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) of each row: ``kept`` is the text without the words
     covered by a window of ``k`` words that also starts in a document with a smaller id."""
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    d = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # the text's digest tells rows with one doc_id apart; it travels only where there are such rows
     repeats = d.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     d = d.withColumn("digest", F.xxhash64("text") if repeats else F.lit(0).cast("bigint"))

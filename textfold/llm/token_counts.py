@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import small_batches
 from .words import slices
 
 BATCH_BYTES = 4 << 20
@@ -84,7 +85,7 @@ def _count(model_path: str):
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of each row by the sentencepiece model, no special tokens."""
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text",
+    d = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text",
                     F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
     counted = d.mapInArrow(_count(model_path), "doc_id bigint, n_bytes bigint, n_tokens bigint")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
