@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import coerce_text_col, normalize_quotes
-from ..plans.ordering import ordered_prefix
+from ..plans.ordering import _null_safe_join, ordered_prefix
 
 
 def literal_regex(sep: str) -> str:
@@ -45,16 +45,19 @@ def chunk_stream(df: DataFrame, col: str, bucket: Column, order: Sequence[Column
                  groups_bound: int | None = None, buckets_bound: int = 4096) -> DataFrame:
     """Windows of ``size`` characters over the concatenation of all rows in ``order``.
 
-    ``bucket`` must be monotone in ``order`` (file block, quantile bucket...). Each
-    row's global start offset is an exact prefix sum (see ``plans.ordering``).
+    ``bucket`` must be monotone in ``order`` (file block, quantile bucket...), and
+    ``order`` unique. Each row's global start offset is an exact prefix sum over the
+    order columns and lengths alone (see ``plans.ordering``), which is then joined to the
+    texts: a broadcast while it is small at run time, else one shuffle of the texts.
     Windows that lie inside one row are cut in place; only the pieces at row
     borders are shuffled and glued, so the shuffle is about ``2 * size`` characters
     per row, not the whole corpus. Returns ``chunk_no`` (0-based) and ``chunk``.
     """
     d = df.select(F.col(col).alias("__t"), bucket.alias("__b"), *[o.alias(f"__o{i}") for i, o in enumerate(order)])
-    d = d.withColumn("__len", F.length("__t"))
-    d = ordered_prefix(d, F.col("__b"), [F.col(f"__o{i}") for i in range(len(order))], weight=F.col("__len"),
-                       out="__g", groups_bound=groups_bound, buckets_bound=buckets_bound)
+    keys = [f"__o{i}" for i in range(len(order))]
+    offsets = ordered_prefix(d.select("__b", *keys, F.length("__t").alias("__len")), F.col("__b"), [F.col(k) for k in keys],
+                             weight=F.col("__len"), out="__g", groups_bound=groups_bound, buckets_bound=buckets_bound)
+    d = _null_safe_join(d.withColumn("__len", F.length("__t")), offsets.select(*keys, "__g"), keys, broadcast_right=False)
     g, ln = F.col("__g"), F.col("__len")
     wins = F.when(ln > 0, F.sequence(F.floor(g / size), F.floor((g + ln - 1) / size)))
     p = d.select("__t", "__g", "__len", F.explode(wins).alias("w"))

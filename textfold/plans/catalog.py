@@ -273,12 +273,10 @@ SELECT CAST(w AS BIGINT) AS chunk_no, string_agg(substring(text, st - g + 1, en
 FROM chars GROUP BY w
 """)
 def q_chunk_stream(spark, d):
-    from .ordering import quantile_splits
+    from .ordering import range_buckets, with_range_bucket
 
     dd = docs(spark, d).select("doc_id", "text")
-    splits = quantile_splits(dd, "doc_id", 64)
-    from .ordering import with_range_bucket
-
+    splits, _ = range_buckets(dd.select("doc_id"), ["doc_id"])
     dd = with_range_bucket(dd, "doc_id", splits, out="b")
     c = textprep.chunk_stream(dd, "text", F.col("b"), [F.col("doc_id")], size=1000, groups_bound=1,
                               buckets_bound=len(splits) + 1)

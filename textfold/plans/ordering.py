@@ -96,13 +96,6 @@ def hash_rank(df: DataFrame, key: str, tiebreak: str = "row_id", by: Sequence[st
                           weight=weight, out=out, groups_bound=groups_bound, buckets_bound=16 ** digits)
 
 
-def quantile_splits(df: DataFrame, col: str, n_buckets: int, rel_error: float = 0.001) -> list[float]:
-    """Quantile split points of a numeric column (one small driver round trip)."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = df.approxQuantile(col, probs, rel_error)
-    return sorted(set(float(q) for q in qs if q is not None))
-
-
 def with_range_bucket(df: DataFrame, col: str, splits: Sequence[float], out: str = "__rb") -> DataFrame:
     """Add ``out`` = number of split points <= ``col`` (binary search in the JVM via ``Bucketizer``)."""
     if not splits:
