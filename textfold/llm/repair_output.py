@@ -28,21 +28,22 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .shared import scratch, small_batches
 from .words import slices
 
 SHARD_IDS = 1 << 20
-ENCODE_BYTES = 2 << 20
-MEMO_ENTRIES = 250_000
+ENCODE_BYTES = 8 << 20
+MEMO_ENTRIES = 800_000
 END_ID = 1
 LEAST_COUNT = 16
 LARGEST_SHARE = 1 / 1000
 FALL = 8
 LEAST_GAIN = 0.02
 
-_encoders: dict[str, "PieceEncoder"] = {}
+_encoders: dict[tuple, "PieceEncoder"] = {}
 
 
 class PieceEncoder:
@@ -51,8 +52,9 @@ class PieceEncoder:
     # what the fast way leaves to the whole tokenizer: controls, beyond Latin Extended-B, dotted capital I
     OTHER = re.compile("[^\t-\r -~¡-įı-ɏ]|<\\|")
     PIECE = re.compile(r"[^\t-\r ]+")
+    MARKS = ".,;:!?*#$%&()-_\"/"  # a run of these after a word is a token of its own
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         import regex
         from tokenizers import Tokenizer
 
@@ -62,66 +64,85 @@ class PieceEncoder:
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(256) if b not in set(plain)]
         self.bytes_as = {b: chr(256 + i) for i, b in enumerate(others)}
+        self.end_id = end_id
         self.forget()
 
     def forget(self) -> None:
         self.memo: dict[str, int] = {}
-        self.pool, self.begin, self.size = array("i"), array("q"), array("q")
-        self.tokens: dict[str, list[int]] = {}
-
-    def _token_ids(self, token: str) -> list[int]:
-        ids = self.tokens.get(token)
-        if ids is None:
-            form = token if token.isascii() else token.encode().decode("latin-1").translate(self.bytes_as)
-            ids = self.tokens[token] = [t.id for t in self.whole.model.tokenize(form)]
-        return ids
-
-    def _learn(self, piece: str) -> None:
-        if piece[0] == "\0":
-            ids = self.whole.encode(piece[1:], add_special_tokens=False).ids
-        elif piece.isalpha():
-            ids = self._token_ids(piece)
-        else:
-            ids = [i for t in self.cut(piece) for i in self._token_ids(t)]
-        self.memo[piece] = len(self.begin)
+        self.pool, self.begin = array("i", [self.end_id]), array("q", [0])
+
+    def _remember(self, piece: str, ids) -> int:
+        at = self.memo[piece] = len(self.begin)
         self.begin.append(len(self.pool))
-        self.size.append(len(ids))
         self.pool.extend(ids)
-
-    def pieces(self, text: str) -> list[str]:
-        """Lower-cased pieces between white space; those for the whole tokenizer are marked by a NUL."""
-        if not self.OTHER.search(text):
-            return text.lower().split()
-        return ["\0" + p if self.OTHER.search(p) else p.lower() for p in self.PIECE.findall(text)]
-
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        return at
+
+    def _of_token(self, token: str) -> int:
+        """The place of a piece that the tokenizer's rule doesn't cut."""
+        at = self.memo.get(token)
+        if at is not None:
+            return at
+        form = token if token.isascii() else token.encode().decode("latin-1").translate(self.bytes_as)
+        return self._remember(token, [t.id for t in self.whole.model.tokenize(form)])
+
+    def _learn(self, piece: str) -> int:
+        word = piece.rstrip(self.MARKS)
+        if word.isalpha():
+            tokens = [word, piece[len(word):]] if len(word) < len(piece) else [piece]
+        elif piece[0] == "\0":
+            return self._remember(piece, self.whole.encode(piece[1:], add_special_tokens=False).ids)
+        else:
+            tokens = self.cut(piece)
+        if tokens == [piece]:
+            return self._of_token(piece)
+        ids = array("i")
+        for at in map(self._of_token, tokens):
+            ids.extend(self.pool[self.begin[at]:self.begin[at + 1] if at + 1 < len(self.begin) else len(self.pool)])
+        return self._remember(piece, ids)
+
+    def pieces(self, col: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Lower-cased pieces of all texts, and how many each has. Texts with characters that aren't left to the fast way are cut
+        here, and their pieces with such characters stay as they are, marked by a NUL."""
+        other = pc.match_substring_regex(col, self.OTHER.pattern)
+        lower = pc.utf8_lower(col)
+        if pc.any(other).as_py():
+            cut = ["\n".join("\0" + p if self.OTHER.search(p) else p.lower() for p in self.PIECE.findall(t))
+                   for t in col.filter(other).to_pylist()]
+            lower = pc.replace_with_mask(lower, other, pa.array(cut, lower.type))
+        lower = pc.ascii_trim_whitespace(lower)
+        some = pc.not_equal(lower, "").to_numpy(zero_copy_only=False)
+        parts = pc.ascii_split_whitespace(lower.filter(pa.array(some)))
+        count = np.zeros(len(col), dtype=np.int64)
+        count[some] = pc.list_value_length(parts).to_numpy()
+        return parts.flatten(), count
+
+    def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts with the end id after each, and the number of ids of each."""
-        pieces = [self.pieces(t) for t in texts]
-        need = set().union(*pieces)
-        if len(self.memo) + len(need) > MEMO_ENTRIES:
+        flat, count = self.pieces(col)
+        coded = flat.dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        if len(self.memo) + len(pieces) > MEMO_ENTRIES:
             self.forget()
-        for p in need - self.memo.keys():
-            self._learn(p)
-        count = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        get = self.memo.__getitem__
-        which = np.fromiter((i for p in pieces for i in map(get, p)), np.int64, int(count.sum()))
-        n = np.frombuffer(self.size, np.int64)[which] if len(which) else which
-        before = np.cumsum(n) - n
-        move = np.frombuffer(self.begin, np.int64)[which] - before if len(which) else which
-        at = np.arange(int(n.sum()))
-        ids = np.full(len(at) + len(texts), end_id, dtype=np.int32)
-        doc = np.repeat(np.arange(len(texts)), count)
-        if len(at):
-            ids[at + np.repeat(doc, n)] = np.frombuffer(self.pool, np.int32)[at + np.repeat(move, n)]
-        total = np.concatenate(([0], np.cumsum(n)))
-        upto = np.concatenate(([0], np.cumsum(count)))
-        return ids, np.diff(total[upto]) + 1
-
-
-def encoder(path: str) -> PieceEncoder:
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+        place = list(map(self.memo.get, pieces))
+        for i, at in enumerate(place):
+            if at is None:
+                place[i] = self._learn(pieces[i])
+        which = np.array(place, dtype=np.int64)[coded.indices.to_numpy()] if place else np.zeros(0, np.int64)
+        which = np.insert(which, np.cumsum(count), END)  # the end id after each text
+        known = pa.ListArray.from_arrays(pa.array(np.append(self.begin, len(self.pool)).astype(np.int32)),
+                                         pa.array(np.array(self.pool)))
+        lists = known.take(pa.array(which))
+        upto = np.concatenate(([0], np.cumsum(count + 1)))
+        return lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()[upto])
+
+
+END = 0  # place of the end id among the remembered pieces
+
+
+def encoder(path: str, end_id: int) -> PieceEncoder:
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = PieceEncoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 def compress(ids: np.ndarray, doc_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -261,7 +282,7 @@ def _encode_part(path: str, end_id: int, shard_ids: int):
     names = [f.split()[0] for f in FILE_SCHEMA.split(", ")]
 
     def run(batches):
-        enc, part = encoder(path), TaskContext.get().partitionId()
+        enc, part = encoder(path, end_id), TaskContext.get().partitionId()
         held, n_held, shard, start = [], 0, 0, 0
 
         def flush():
@@ -276,7 +297,7 @@ def _encode_part(path: str, end_id: int, shard_ids: int):
             null = batch["doc_id"].is_null().to_numpy(zero_copy_only=False)
             keys = batch["doc_id"].fill_null(0).to_numpy()
             for a, b in slices(batch["text"], ENCODE_BYTES):
-                ids, sizes = enc.encode([t or "" for t in batch["text"].slice(a, b - a).to_pylist()], end_id)
+                ids, sizes = enc.encode(batch["text"].slice(a, b - a))
                 end = np.cumsum(sizes)
                 x = 0
                 while x < b - a:  # cut into shards
