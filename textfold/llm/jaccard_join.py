@@ -11,8 +11,8 @@ their sets' Jaccard similarity reaches 3/4, in integers ``7 * overlap >= 3 * (si
    prefixes are shuffled. A shingle's list is never paired with itself as a whole: in each of ``STARS`` rounds
    its members meet ``HUBS`` of them, linked classes merge into components, and in the last round members
    of different components of a list are paired, all of them.
-   A pair is a candidate where its sizes, what follows the shared shingle in both orders, and 256 parity bits of both sets
-   leave room for enough overlap.
+   A pair is a candidate where its sizes, what follows the shared shingle in both orders, 256 parity bits of both sets, and
+   then a parity bit or two for each of their shingles leave room for enough overlap.
 4. Overlaps of candidate pairs are counted by vertical partitioning: the order is cut into ``FRAGMENTS``,
    each fragment counts the partial overlaps of its part of the sets, and the sums per pair decide.
 5. Components come from alternating large and small stars over the links.
@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import materialize
+from .shared import materialize, small_batches
 from .words import Words, mix, slices, text_bytes
 
 WORDS = 5
@@ -45,7 +45,7 @@ SALTS = 64
 STARS = 2
 HUBS = 3
 FRAGMENTS = 4
-BLOCK_PAIRS = 20_000
+BLOCK_SHINGLES = 4_000_000
 WANTED_BROADCAST = 1_000_000  # rows of three 64-bit numbers: 24 MB; more of them are joined by a shuffle
 PARITY = ("b0", "b1", "b2", "b3")
 _TOP = np.uint64(1 << 63)
@@ -100,6 +100,18 @@ def parities(gram: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def long_parities(gram: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    """The same in a bit or two for each shingle of a set: arrays of 64-bit words, a power of two of them."""
+    n = np.diff(first)
+    words = 2 ** np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64)
+    upto = np.concatenate(([0], np.cumsum(words)))
+    of = np.repeat(np.arange(len(n)), n)
+    place = gram & (words[of] * 64 - 1).astype(np.uint64)
+    total = np.zeros(int(upto[-1]), dtype=np.uint64)
+    np.bitwise_xor.at(total, upto[of] + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(total.view(np.int64)))
+
+
 def _sets(batches):
     for batch in batches:
         for a, b in slices(batch["text"], READ_BYTES):
@@ -110,7 +122,7 @@ def _sets(batches):
 
 def _classes(batches):
     """A row for each document, and (kind 1) rows of shingles that many classes of this task share."""
-    names = ["kind", "doc_id", "digest", "n", "c1", "c2", *PARITY]
+    names = ["kind", "doc_id", "digest", "n", "c1", "c2", *PARITY, "bits"]
     held, size, seen = [], 0, set()
 
     def heavy():
@@ -118,12 +130,12 @@ def _classes(batches):
         much = count >= HEAVY_SEEN
         n = int(much.sum())
         return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(count[much]),
-                                           pa.array(gram[much].astype(np.int64)), *[pa.nulls(n, pa.int64())] * 5], names)
+                                           pa.array(gram[much].astype(np.int64)), *[pa.nulls(n, pa.int64())] * 5, pa.nulls(n, pa.list_(pa.int64()))], names)
     for part, gram, first in _sets(batches):
         n = np.diff(first)
         c1, c2 = digests(gram, first)
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), part["doc_id"], part["digest"], pa.array(n), pa.array(c1),
-                                          pa.array(c2), *map(pa.array, parities(gram, first))], names)
+                                          pa.array(c2), *map(pa.array, parities(gram, first)), long_parities(gram, first)], names)
         new = np.zeros(len(n), dtype=bool)
         for i, c in enumerate(c1.tolist()):
             if c not in seen:
@@ -266,20 +278,32 @@ def _overlaps(key, pairs: pa.Table, sets: pa.Table) -> pa.Table:
     return pa.table([pa.array(ab[0][some]), pa.array(ab[1][some]), pa.array(shared[some])], schema=PARTIAL)
 
 
-def pair_sets(d: DataFrame, classes: DataFrame, pairs: DataFrame, heavy: np.ndarray, rank: np.ndarray) -> DataFrame:
+def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b, total) whose long parity bits leave room for enough overlap; the longer array is folded to the other."""
+    x, y = (classes.select(F.col("c").alias(s), F.col("bits").alias(f"{s}bits")) for s in "ab")
+    p = pairs.join(x, "a").join(y, "b").withColumn("least", F.least(F.size("abits"), F.size("bbits")))
+
+    def word(s: str, i: Column) -> Column:
+        own = F.get(f"{s}bits", i)
+        return F.when(F.size(f"{s}bits") > F.col("least"), own.bitwiseXOR(F.get(f"{s}bits", i + F.col("least")))).otherwise(own)
+    bits = F.transform(F.sequence(F.lit(0), F.col("least") - 1), lambda i: F.bit_count(word("a", i).bitwiseXOR(word("b", i))))
+    differ = F.aggregate(bits, F.lit(0), lambda total, n: total + n)
+    return p.filter(7 * differ <= F.col("total")).select("a", "b", "total")
+
+
+def pair_sets(d: DataFrame, classes: DataFrame, pairs: DataFrame, n_pairs: int, heavy: np.ndarray, rank: np.ndarray) -> DataFrame:
     """(c, fragment, keys) of the classes in ``pairs``, from the text of one document of each."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes, "c")
-    wanted = materialize(wanted.select("c", F.col("one.doc_id").alias("i"), F.col("one.digest").alias("g")), "jaccard-wanted")
-    if wanted.count() <= WANTED_BROADCAST:
+    wanted = wanted.select("c", F.col("one.doc_id").alias("i"), F.col("one.digest").alias("g"))
+    if 2 * n_pairs <= WANTED_BROADCAST:
         wanted = F.broadcast(wanted)
     texts = d.join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("g"))).select("c", "text")
-    return materialize(texts.mapInArrow(_fragments(heavy, rank), "c bigint, fragment int, keys binary"), "jaccard-fragments")
+    return texts.mapInArrow(_fragments(heavy, rank), "c bigint, fragment int, keys binary")
 
 
-def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v) of the candidate pairs (a, b, total) that link; ``total`` is the sum of their sizes."""
-    n = pairs.count()
-    blocks = max(1, math.ceil(n / BLOCK_PAIRS))
+def links(pairs: DataFrame, n_shingles: int, sets: DataFrame) -> DataFrame:
+    """(u, v) of the candidate pairs (a, b, total) that link; ``total`` is the sum of their sizes, ``n_shingles`` of all totals."""
+    blocks = max(1, math.ceil(n_shingles / BLOCK_SHINGLES))
     # a hub's many pairs go to several blocks
     p = pairs.withColumn("block", F.pmod(F.xxhash64("a", F.pmod("b", F.lit(16))), F.lit(blocks)).cast("int"))
     need = p.select(F.col("block").alias("to_block"), F.explode(F.array("a", "b")).alias("c")).distinct()
@@ -294,14 +318,14 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v): the smallest node ``v`` of the component of each node ``u`` but that one, from edges u > v, by alternating
-    large stars and small stars until nothing changes. Every step is written to the shared folder."""
+    large stars and small stars until every edge ends in a root. Every round is written to the shared folder."""
     e = materialize(edges.distinct(), "components")
-    state = None
     while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        if state == tuple(now):
+        roots = e.select(F.col("v").alias("u")).distinct()
+        inner = e.join(roots, "u", "left_semi").limit(1).count()
+        several = 0 if inner else e.groupBy("u").count().filter("count > 1").limit(1).count()
+        if not inner and not several:
             return e
-        state = tuple(now)
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         e = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -359,7 +383,7 @@ def cross_pairs(lists: DataFrame) -> DataFrame:
 
 def link_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id) of each row: the size of its set, and the smallest id that links reach."""
-    d = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    d = small_batches(docs).select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("digest", F.xxhash64("text"))
     seen = materialize(_with_digest(d), "jaccard-sets")
     rows = seen.filter("kind = 0")
@@ -372,7 +396,7 @@ def link_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     t, rank = t[order], rank[order]
 
     classes = materialize(rows.groupBy(F.col("c1").alias("c")).agg(
-        F.min("doc_id").alias("least"), F.max(F.struct("doc_id", "digest")).alias("one"), *[F.min(b).alias(b) for b in PARITY],
+        F.min("doc_id").alias("least"), F.max(F.struct("doc_id", "digest")).alias("one"), *[F.min(b).alias(b) for b in PARITY], F.min("bits").alias("bits"),
         F.min("c2").alias("x"), F.max("c2").alias("y")), "jaccard-classes")
     if classes.filter("x != y").limit(1).count():
         raise ValueError("two different shingle sets share half of their digest")
@@ -389,18 +413,22 @@ def link_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         else:
             of = stars.select(F.col("u").alias("c"), F.col("v").alias("m"))
             now = lists.join(of, "c", "left").withColumn("comp", F.coalesce("m", "c")).drop("m")
-        pairs = materialize(star_pairs(now, turn) if turn < STARS else cross_pairs(now), "jaccard-pairs")
-        edges = links(pairs, pair_sets(d, classes, pairs, t, rank))
-        stars = components(edges if stars is None else stars.unionAll(edges))
+        pairs = materialize(plausible(star_pairs(now, turn) if turn < STARS else cross_pairs(now), classes), "jaccard-pairs")
+        n_pairs, n_shingles = pairs.agg(F.count("*"), F.sum("total")).head()
+        if n_pairs:
+            edges = links(pairs, n_shingles, pair_sets(d, classes, pairs, n_pairs, t, rank))
+            stars = components(edges if stars is None else stars.unionAll(edges))
+    if stars is None:
+        stars = lists.select(F.col("c").alias("u"), F.col("c").alias("v")).limit(0)
 
     of = stars.select(F.col("u").alias("c"), F.col("v").alias("m"))
     named = classes.join(of, "c", "left").select("c", "least", F.coalesce("m", "c").alias("comp"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    ids = materialize(named.join(least, "comp").select(F.col("c").alias("c1"), "component_id"), "jaccard-ids")
+    ids = named.join(least, "comp").select(F.col("c").alias("c1"), "component_id")
     return rows.join(ids, "c1").select("doc_id", F.col("n").alias("n_shingles"),
                                        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def _with_digest(d: DataFrame) -> DataFrame:
     return d.mapInArrow(_classes, "kind int, doc_id bigint, digest bigint, n bigint, c1 bigint, c2 bigint, "
-                          + ", ".join(f"{b} bigint" for b in PARITY))
+                          + ", ".join(f"{b} bigint" for b in PARITY) + ", bits array<bigint>")
