@@ -36,7 +36,7 @@ from .words import slices
 
 SHARD_IDS = 1 << 20
 ENCODE_BYTES = 8 << 20
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 500_000
 END_ID = 1
 LEAST_COUNT = 16
 LARGEST_SHARE = 1 / 1000
@@ -52,6 +52,7 @@ class PieceEncoder:
     # what the fast way leaves to the whole tokenizer: controls, beyond Latin Extended-B, dotted capital I
     OTHER = re.compile("[^\t-\r -~¡-įı-ɏ]|<\\|")
     PIECE = re.compile(r"[^\t-\r ]+")
+    MARK_RUN = r"([^\s\pL\pN]+)"
     MARKS = ".,;:!?*#$%&()-_\"/"  # a run of these after a word is a token of its own
 
     def __init__(self, path: str, end_id: int):
@@ -105,6 +106,8 @@ class PieceEncoder:
         here, and their pieces with such characters stay as they are, marked by a NUL."""
         other = pc.match_substring_regex(col, self.OTHER.pattern)
         lower = pc.utf8_lower(col)
+        # the rule cuts before and after a run of marks anyway; with apostrophes it may not
+        lower = pc.if_else(pc.match_substring(lower, "'"), lower, pc.replace_substring_regex(lower, self.MARK_RUN, r" \1 "))
         if pc.any(other).as_py():
             cut = ["\n".join("\0" + p if self.OTHER.search(p) else p.lower() for p in self.PIECE.findall(t))
                    for t in col.filter(other).to_pylist()]
@@ -121,7 +124,7 @@ class PieceEncoder:
         flat, count = self.pieces(col)
         coded = flat.dictionary_encode()
         pieces = coded.dictionary.to_pylist()
-        if len(self.memo) + len(pieces) > MEMO_ENTRIES:
+        if len(self.memo) > MEMO_ENTRIES:
             self.forget()
         place = list(map(self.memo.get, pieces))
         for i, at in enumerate(place):
