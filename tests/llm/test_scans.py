@@ -182,6 +182,24 @@ def test_names_about_neighbours_stay():
     assert wrapper_extract.extract(page, None) == "text"
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article><h2 id='related-work'>Related work</h2><p id=notice>We</p><section id='social-impact'><p>show</p></section>"
+     "<section id=disclaimer><p>that</p></section><div class=section id=related><a id=share>it</a> holds</div></article>",
+     "Related work We show that it holds"),
+    ("<div class='elementor-widget-container'><article><p>text</p></article></div>", "text"),
+    ("<div class='layout-sidebar-right'><p>text</p></div>", "text"),
+    ("<div class='widget'><article><p>text</p></article></div>", "text"),
+    ("<div class='sidebar-right'><main><p>text</p></main></div>", "text"),
+    ("<div class='sidebar'><p>text</p></div>", "text"),
+    ("<main><div class='widget'><article><p>text</p></article></div></main>", "text"),
+    ("<article><p>text</p></article><div id=comments class='comments-area'><article class='comment-body'>first</article></div>", "text"),
+    ("<article><p>text</p><div class='related-posts'><article>other</article></div><div id=comments>c</div></article>", "text"),
+    ("<body><div class='site-footer'>f</div><div id=sidebar>s</div><h2 id=notice>Notice</h2><p>text</p></body>", "Notice text"),
+])
+def test_names_drop_no_content(page, text):
+    assert wrapper_extract.extract(page, None) == text
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     rows = [(1, None, None), (2, "", ""), (3, "no url", "just text &amp; more"), (4, "http://a/", "<article>cut <p>off <foot"),
