@@ -200,6 +200,19 @@ def test_names_drop_no_content(page, text):
     assert wrapper_extract.extract(page, None) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article><p>a <svg class='icon'/> b</p><p>c</p></article>", "a b c"),
+    ("<article><p>a <math/>b</p><svg class=i /><p>c</p><svg><text>t</text></svg><p>d</p></article>", "a b c d"),
+    ("<article><p>so <math><msup><mi>x</mi><mn>2</mn></msup><mspace/><mo>=</mo><mn>4</mn></math> holds</p></article>", "so x2=4 holds"),
+    ("<article><svg><g><path d=''/></g><p>a</p><svg><svg/><svg><g/></svg><text>t</text></svg><p>b</p></article>", "a b"),
+    ("<article><svg><foreignObject><div>t</div></foreignObject><text>u</text></svg>a</article><p>b", "a"),
+    ("<article><p><math><mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>2</mn></mtd></mtr></mtable></math>", "1 2"),
+    ("<article>a<script/>x</script>b<style>p{}</style>c</article>", "abc"),
+])
+def test_drawings_and_formulas(page, text):
+    assert wrapper_extract.extract(page, None) == text
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     rows = [(1, None, None), (2, "", ""), (3, "no url", "just text &amp; more"), (4, "http://a/", "<article>cut <p>off <foot"),
