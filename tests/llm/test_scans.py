@@ -177,6 +177,21 @@ def test_constant_slots_of_a_host_are_template(spark):
     assert {r["text"] for r in wrapper_extract.extract_pages(copies).collect()} == {"Our site motto Story 0 about things All the best"}
 
 
+@pytest.mark.parametrize("copies", [4, 5, 40])
+def test_copies_of_a_page_are_no_template(spark, copies):
+    page = ("<body><nav>n{j}</nav><article><h1>Story {i}</h1><p>about {i}</p>{more}<div class=follow-us>Follow us</div></article>"
+            "<div class=ad>{j}</div></body>")
+    own = "<ul><li>one</li></ul><table><tr><td>two</td></tr></table><p class=lead>three</p><dl><dt>four</dt></dl>"
+    rows = [(i, "http://h.example/", page.format(i=i, j=0, more="")) for i in range(20)]
+    rows += [(100 + j, "http://h.example/", page.format(i=100, j=j, more=own)) for j in range(copies)]  # the same article
+    rows += [(200 + j, "http://h.example/", page.format(i=200 + j, j=j, more="<figure>" + own + "</figure>")) for j in range(6)]
+    got = {r["page_id"]: r["text"] for r in wrapper_extract.extract_pages(
+        spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    words = "one two three four"
+    assert got == {i: f"Story {i} about {i}" for i in range(20)} | {100 + j: f"Story 100 about 100 {words}" for j in range(copies)} \
+        | {200 + j: f"Story {200 + j} about {200 + j} {words}" for j in range(6)}
+
+
 def test_names_about_neighbours_stay():
     page = "<body class='has-sidebar'><div class='post with-sidebar'><p>text</p></div><div class='rightSidebar'>x</div></body>"
     assert wrapper_extract.extract(page, None) == "text"
