@@ -32,6 +32,17 @@ def test_licence_wording_decides(spark):
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("words", [0, 3, 6, 20, 40])
+def test_short_notices_in_long_lines(words):
+    s = license_scan.Scanner(license_scan.TEMPLATES)
+    rng = random.Random(words)
+    before, after = (" ".join("".join(rng.choice("abcdefghiklmnoprstuw") for _ in range(rng.randrange(2, 9))) for _ in range(words))
+                     for _ in range(2))
+    for name, notices in license_scan.TEMPLATES.items():
+        for n in notices:
+            assert {(h[1], h[3]) for h in s.licences(f"{before} {n} {after}")} == {(name, 0)}, n
+
+
 def test_licence_lines_of_documents(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     got = {(r["doc_id"], r["license"]) for r in license_scan.scan_licenses(df).collect()}

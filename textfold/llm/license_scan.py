@@ -1,10 +1,10 @@
 """License scans by conditional compression.
 
 A candidate block is a line with a licence cue, alone and together with the lines after it up to the length
-of the longest template. A block is compressed alone and once with each template as a zstandard raw
-dictionary; the share of bytes a template saves ranks the templates. The best ``TRIED`` are then compared
-with the block word by word, and the one with the fewest differing words wins, if these are at most
-``MOST_DIFFERENT`` of its words. Ties go to the larger saving, then to the template's name.
+of the longest template. Each template with enough of its words in the block, in any order, is compared with it
+word by word, and the one with the fewest differing words wins, if these are at most ``MOST_DIFFERENT`` of its
+words. The block is compressed alone and once with each of these templates as a zstandard raw dictionary;
+ties go to the larger saving, then to the template's name.
 
 Defined results: null and empty texts have no blocks; a line without a cue word is no candidate; equal blocks of a
 task are scored once (a bounded memory); repeated rows give repeated results; further columns are ignored;
@@ -52,9 +52,7 @@ TEMPLATES = {
     "Proprietary": ["All rights reserved."],
 }
 CUES = r"(?i)licen[sc]|copyright|\bCC(?:0| BY)|public domain|redistribut|hereby granted|rights reserved|free software"
-TRIED = 4
 MOST_DIFFERENT = 0.25
-LEAST_SAVED = 0.15
 MEMO_ENTRIES = 100_000
 WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][0-9A-Za-z]+)*")
 
@@ -89,12 +87,12 @@ class Scanner:
             return self.memo[block]
         raw = block.encode()
         alone = len(self.plain.compress(raw))
-        saved = sorted(((1 - len(c.compress(raw)) / alone, i) for i, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
         words, found = WORD.findall(block.lower()), []
-        for share, i in saved[:TRIED]:
-            if share < LEAST_SAVED:
-                break
-            name, _, notice = self.notices[i]
+        have = set(words)
+        for (name, _, notice), given in zip(self.notices, self.given):
+            if sum(w not in have for w in notice) > MOST_DIFFERENT * len(notice):
+                continue
+            share = 1 - len(given.compress(raw)) / alone
             runs = difflib.SequenceMatcher(None, notice, words, autojunk=False).get_matching_blocks()
             same = sum(m.size for m in runs)
             inner = (runs[-2].b + runs[-2].size - runs[0].b) if same else 0  # words the notice spans in the block
