@@ -1,6 +1,7 @@
 """Licence scan, decontamination, language spans and HTML extraction."""
 
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -43,6 +44,39 @@ def test_short_notices_in_long_lines(words):
             assert {(h[1], h[3]) for h in s.licences(f"{before} {n} {after}")} == {(name, 0)}, n
 
 
+def test_wrapped_notices_and_several_in_a_line():
+    s = license_scan.Scanner(license_scan.TEMPLATES)
+    for mark in ("", "# ", " * "):
+        for width in (14, 30, 74):
+            for name, notices in license_scan.TEMPLATES.items():
+                for n in notices:
+                    head = "\n".join(["some code", *textwrap.wrap(n, width, break_long_words=False, break_on_hyphens=False)]).replace("\n", "\n" + mark) + "\nmore code"
+                    got = [(h[0], h[1], h[3]) for h in s.licences(head)]
+                    assert got == [(10 + len(mark), name, 0)], (head, got)
+    line = "Released under the MIT License. Licensed under the Apache License, Version 2.0. All rights reserved."
+    assert [(h[0], h[1], h[3]) for h in s.licences(line)] == [(0, "MIT", 0), (32, "Apache-2.0", 0), (80, "Proprietary", 0)]
+    twice = "All rights reserved. " * 3 + "Copyright 2020 Acme. All rights\nreserved."
+    assert [(h[0], h[1]) for h in s.licences(twice)] == [(at, "Proprietary") for at in (0, 21, 42, 84)]
+
+
+def test_nearest_run_of_words():
+    rng = random.Random(9)
+    for _ in range(300):
+        words = [rng.choice("abcd") for _ in range(rng.randrange(1, 12))]
+        notice = [rng.choice("abcd") for _ in range(rng.randrange(1, 6))]
+        at = rng.randrange(len(words))
+
+        def differ(x, y):
+            if not x or not y:
+                return len(x) + len(y)
+            return differ(x[1:], y[1:]) if x[0] == y[0] else 1 + min(differ(x[1:], y), differ(x, y[1:]))
+        d, a, b = min((differ(notice, words[a:b]), a, b) for a in range(at + 1) for b in range(at + 1, len(words) + 1))
+        got = license_scan.nearest(notice, words, at, at)
+        assert got is None or got[0] >= d
+        if 4 * d <= len(notice):
+            assert got and got[0] == d and differ(notice, words[got[2]:got[2] + got[1]]) == d
+
+
 def test_licence_lines_of_documents(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     got = {(r["doc_id"], r["license"]) for r in license_scan.scan_licenses(df).collect()}

@@ -1,20 +1,22 @@
 """License scans by conditional compression.
 
-A candidate block is a line with a licence cue, alone and together with the lines after it up to the length
-of the longest template. Each template with enough of its words in the block, in any order, is compared with it
-word by word, and the one with the fewest differing words wins, if these are at most ``MOST_DIFFERENT`` of its
-words. The block is compressed alone and once with each of these templates as a zstandard raw dictionary;
-ties go to the larger saving, then to the template's name.
-
-Defined results: null and empty texts have no blocks; a line without a cue word is no candidate; equal blocks of a
-task are scored once (a bounded memory); repeated rows give repeated results; further columns are ignored;
-an empty table gives no rows. A line is never cut; a longer one is scored around each of its cues.
+A window of words around each licence cue, over line ends, is compared with every template that has enough of its
+words in it: the run of words around the cue that differs least from the notice, words missing and words too many
+counted, is a match if these are at most ``MOST_DIFFERENT`` of the notice's words. A matched run is compressed alone and
+with its template as a zstandard raw dictionary, which gives the share of bytes the template saves. Of overlapping matches
+the one with the fewest differing words stays; ties go to the one that saves more bytes, then to the template's name.
+
+Defined results: null and empty texts have no windows; a notice without a cue word is no candidate; equal windows of a
+task are compared once (a bounded memory); repeated rows give repeated results; further columns are ignored;
+an empty table gives no rows. A line is never cut, and a notice may be wrapped over lines and comment marks.
 """
 
 from __future__ import annotations
 
-import difflib
+import bisect
+import hashlib
 import re
+from collections import Counter
 
 import pyarrow as pa
 import zstandard
@@ -51,72 +53,103 @@ TEMPLATES = {
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
     "Proprietary": ["All rights reserved."],
 }
-CUES = r"(?i)licen[sc]|copyright|\bCC(?:0| BY)|public domain|redistribut|hereby granted|rights reserved|free software"
+CUES = (r"(?i)licen[sc]|copyright|\bCC(?:0|\W+BY)|public\W+domain|redistribut|hereby\W+granted|rights\W+reserved"
+        r"|free\W+software")
 MOST_DIFFERENT = 0.25
 MEMO_ENTRIES = 100_000
 WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][0-9A-Za-z]+)*")
 
 
+def nearest(notice: list[str], words: list[str], first: int, last: int):
+    """(differing words, size, start) of the run of words, over some of ``first`` to ``last``, that differs least from the notice; ties
+    go to the shorter run, then to the earlier one."""
+    # row by row of the notice: the least difference of its words so far to a run that ends here, and where that begins
+    least, begin = [0] * (len(words) + 1), list(range(len(words) + 1))
+    for i, x in enumerate(notice, 1):
+        now, since = [i], [0]
+        for j, w in enumerate(words):
+            best = (now[j] + 1, -since[j])  # a word too many
+            if least[j + 1] + 1 < best[0] or least[j + 1] + 1 == best[0] and -begin[j + 1] < best[1]:  # one missing
+                best = (least[j + 1] + 1, -begin[j + 1])
+            if x == w and (least[j], -begin[j]) <= best:
+                best = (least[j], -begin[j])
+            now.append(best[0])
+            since.append(-best[1])
+        least, begin = now, since
+    return min(((d, e - a, a) for e, (d, a) in enumerate(zip(least, begin)) if a <= last and first < e), default=None)
+
+
 class Scanner:
     def __init__(self, templates: dict[str, list[str]]):
-        self.notices = [(name, t, WORD.findall(t.lower())) for name in sorted(templates) for t in templates[name]]
-        self.longest = max(len(t) for _, t, _ in self.notices)
+        self.notices = [(name, WORD.findall(t.lower())) for name in sorted(templates) for t in templates[name]]
+        self.counts = [Counter(w) for _, w in self.notices]
+        longest = max(len(w) for _, w in self.notices)
+        self.reach = longest + int(MOST_DIFFERENT * longest)  # words of a match before or after its cue, at most
         level = {"level": 9, "write_content_size": False}
         self.plain = zstandard.ZstdCompressor(**level)
         self.given = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(
-            t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **level) for _, t, _ in self.notices]
+            " ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **level) for _, w in self.notices]
         self.cue = re.compile(CUES)
-        self.memo: dict[str, tuple | None] = {}
+        self.memo: dict[bytes, list[tuple]] = {}
 
-    def blocks(self, text: str):
-        """(offset, block) of the candidates; two to a cue."""
-        seen = set()
+    def windows(self, text: str):
+        """(words, first, last) of each cue: the words around it as matches, and the first and last of its own."""
         for hit in self.cue.finditer(text):
-            a = text.rfind("\n", 0, hit.start()) + 1
-            b = text.find("\n", hit.end())
-            b = len(text) if b < 0 else b
-            a, b = max(a, hit.start() - self.longest), min(b, hit.end() + self.longest)
-            for end in {b, min(len(text), a + self.longest)}:
-                if end > hit.end() - 1 and (a, end) not in seen:
-                    seen.add((a, end))
-                    yield a, text[a:end]
-
-    def best(self, block: str):
-        """(licence, saved share, differing words, words) of a block, or None."""
-        if block in self.memo:
-            return self.memo[block]
-        raw = block.encode()
-        alone = len(self.plain.compress(raw))
-        words, found = WORD.findall(block.lower()), []
-        have = set(words)
-        for (name, _, notice), given in zip(self.notices, self.given):
-            if sum(w not in have for w in notice) > MOST_DIFFERENT * len(notice):
+            far = 16 * self.reach
+            while True:  # words before the cue, whole ones only
+                at = max(0, hit.start() - far)
+                words, after = [], 0
+                for w in WORD.finditer(text, at):
+                    words.append(w)
+                    after += w.start() >= hit.end()
+                    if after == self.reach:
+                        break
+                if at:
+                    del words[:1]
+                first = sum(w.end() <= hit.start() for w in words)
+                if first >= self.reach or not at:
+                    break
+                far *= 2
+            words = words[max(0, first - self.reach):]
+            first = min(first, self.reach)
+            last = max(i for i, w in enumerate(words) if w.start() < hit.end())
+            yield words, first, last
+
+    def matches(self, words: tuple[str, ...], first: int, last: int) -> list[tuple]:
+        """(differing words, bytes saved, notice, start, end, saved share) of the notices around the cue."""
+        key = hashlib.blake2b(" ".join((*words, str(first), str(last))).encode(), digest_size=16).digest()
+        if key in self.memo:
+            return self.memo[key]
+        have, found = Counter(words), []
+        for i, (_, notice) in enumerate(self.notices):
+            most = int(MOST_DIFFERENT * len(notice))
+            if sum(w not in have for w in notice) > most or (self.counts[i] - have).total() > most:
                 continue
-            share = 1 - len(given.compress(raw)) / alone
-            runs = difflib.SequenceMatcher(None, notice, words, autojunk=False).get_matching_blocks()
-            same = sum(m.size for m in runs)
-            inner = (runs[-2].b + runs[-2].size - runs[0].b) if same else 0  # words the notice spans in the block
-            different = len(notice) - same + max(0, inner - same)
-            if different <= MOST_DIFFERENT * len(notice):
-                found.append((different, -share, name, len(notice)))
-        result = min(found) if found else None
+            near = nearest(notice, words, first, last)
+            if near and near[0] <= most:
+                different, size, a = near
+                raw = " ".join(words[a:a + size]).encode()
+                alone = len(self.plain.compress(raw))
+                saved = alone - len(self.given[i].compress(raw))
+                found.append((different, saved, i, a, a + size, saved / alone))
         if len(self.memo) >= MEMO_ENTRIES:
             self.memo = {}
-        self.memo[block] = result = result and (result[2], -result[1], result[0], result[3])
-        return result
+        self.memo[key] = found
+        return found
 
     def licences(self, text: str) -> list[tuple]:
-        """The best block of each place and licence: (offset, licence, saved, different, words)."""
-        kept: dict[tuple, tuple] = {}
-        for at, block in self.blocks(text):
-            hit = self.best(block)
-            if hit and ((at, hit[0]) not in kept or (hit[2], -hit[1]) < (kept[at, hit[0]][2], -kept[at, hit[0]][1])):
-                kept[at, hit[0]] = hit
-        least: dict[int, tuple] = {}
-        for (at, _), hit in kept.items():
-            if at not in least or (hit[2], -hit[1], hit[0]) < (least[at][2], -least[at][1], least[at][0]):
-                least[at] = hit
-        return [(at, *least[at]) for at in sorted(least)]
+        """The notices in a text: (offset, licence, saved, different, words)."""
+        found = {}
+        for words, first, last in self.windows(text):
+            for different, saved, i, a, b, share in self.matches(tuple(w[0].lower() for w in words), first, last):
+                name, notice = self.notices[i]
+                found[words[a].start(), words[b - 1].end(), i] = (different, -saved, name, share, len(notice))
+        kept: list[tuple] = []  # without overlaps, in order
+        for (a, b, _), (different, _, name, share, size) in sorted(found.items(), key=lambda x: (x[1][:3], x[0])):
+            at = bisect.bisect(kept, (a,))
+            if (at == len(kept) or kept[at][0] >= b) and (at == 0 or kept[at - 1][1] <= a):
+                kept.insert(at, (a, b, name, share, different, size))
+        return [(a, *rest) for a, _, *rest in kept]
 
 
 def _scan(templates: dict[str, list[str]]):
@@ -133,7 +166,7 @@ def _scan(templates: dict[str, list[str]]):
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """(doc_id, at, license, saved, n_different, n_words): each licence notice found, at its line's offset in code points."""
+    """(doc_id, at, license, saved, n_different, n_words): each licence notice found, at its first word's offset in code points."""
     d = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("text").rlike(CUES))
     return d.mapInArrow(_scan(templates or TEMPLATES),
                         "doc_id bigint, at bigint, license string, saved double, n_different bigint, n_words bigint")
