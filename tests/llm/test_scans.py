@@ -130,6 +130,16 @@ def test_edited_passages(spark):
     assert edit_decontam.find_items(docs.limit(0), table).count() == edit_decontam.find_items(docs, table.limit(0)).count() == 0
 
 
+def test_short_items(spark):
+    rows = [(1, "He asked: What is  two plus\ntwo? Yes."), (2, "yesterday, whatever"), (3, "yes_no"), (4, "他说你好吗然后走了"), (5, None)]
+    items = [(1, "What is two plus two?"), (2, "two plus two"), (3, "yes"), (4, "你好吗"), (5, " "), (6, "whatever"), (7, "plus t"), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(tuple(r) for r in edit_decontam.find_items(docs, table).collect())
+    assert got == [(1, 1, 0), (1, 2, 0), (1, 3, 0), (2, 6, 0), (4, 4, 0)]
+    assert {r["doc_id"] for r in edit_decontam.drop_contaminated(docs, table).collect()} == {3, 5}
+
+
 def test_exact_passages_of_documents(spark):
     docs, items = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "benchmark"))
     got = {(r["doc_id"], r["item_id"]) for r in edit_decontam.find_items(docs, items).collect()}

@@ -8,14 +8,17 @@ bit-parallel algorithm gives the least edit distance of the whole item to any su
 Texts and items are compared in lower case with each run of white space as one space. Items are a stated query
 set: blocks of at most ``BLOCK_BYTES`` of items are sent to the tasks, and each block passes over all documents.
 
-Defined results: null and empty documents match nothing; items that are null or under ``LEAST_CHARS``
-characters match nothing; repeated rows and items give repeated results; further columns are ignored; an empty
+Items under ``LEAST_CHARS`` characters are matched without errors, and only where no word goes on beyond either end.
+
+Defined results: null and empty documents match nothing; items that are null or blank match nothing; repeated rows and items give repeated results; further columns are ignored; an empty
 table on either side gives no rows. Whole texts are searched.
 """
 
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -25,12 +28,27 @@ from .shared import small_batches
 EDIT_SHARE = 0.05
 LEAST_CHARS = 20
 BLOCK_BYTES = 8 << 20
+# Scripts written without spaces between words (Thai, Lao, Myanmar, Khmer, kana, Han).
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff"
+                      "\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 
 def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+def in_word(c: str) -> bool:
+    return c == "_" or c.isalnum() or unicodedata.category(c)[0] == "M"
+
+
+def goes_on(text: str, at: int) -> bool:
+    """Whether a word goes on from before ``at`` to behind it."""
+    if not 0 < at < len(text):
+        return False
+    a, b = text[at - 1], text[at]
+    return in_word(a) and in_word(b) and not (UNSPACED.match(a) or UNSPACED.match(b))
+
+
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
     """``errors + 1`` pieces of about the same length, with their offsets."""
     n = errors + 1
@@ -75,9 +93,9 @@ class Matcher:
         self.items, places = [], {}
         for item_id, text in items:
             t = normal(text)
-            if len(t) < LEAST_CHARS:
+            if not t:
                 continue
-            errors = math.floor(edit_share * len(t))
+            errors = math.floor(edit_share * len(t)) if len(t) >= LEAST_CHARS else 0
             for at, piece in pieces(t, errors):
                 places.setdefault(piece, []).append((len(self.items), at))
             self.items.append((item_id, t, errors, Pattern(t)))
@@ -92,9 +110,14 @@ class Matcher:
             return []
         t = normal(text)
         windows: dict[int, list[list[int]]] = {}
+        short: set[int] = set()
         for end, (size, where) in self.automaton.iter(t):
             for i, at in where:
                 _, item, errors, _ = self.items[i]
+                if len(item) < LEAST_CHARS:
+                    if i not in short and not goes_on(t, end + 1 - size) and not goes_on(t, end + 1):
+                        short.add(i)
+                    continue
                 a = max(0, end + 1 - size - at - errors)
                 b = end + 1 - size - at + len(item) + errors
                 w = windows.setdefault(i, [])
@@ -102,7 +125,7 @@ class Matcher:
                     w[-1][1] = max(b, w[-1][1])
                 else:
                     w.append([a, b])
-        out = []
+        out = [(self.items[i][0], 0) for i in short]
         for i, spans in windows.items():
             item_id, item, errors, pattern = self.items[i]
             least = 0 if any(item in t[a:b] for a, b in spans) else min(pattern.distance(t[a:b]) for a, b in spans)
