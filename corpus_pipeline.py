@@ -17,7 +17,7 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose letters are mostly in one known language stay."""
+    """Documents whose letters are mostly in known languages, one or several, stay."""
     return language_spans.keep_languages(docs, language_spans.fit(docs), LEAST_LANGUAGE_SCORE)
 
 

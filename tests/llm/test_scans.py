@@ -193,6 +193,29 @@ def test_languages_without_training(spark):
     assert language_spans.label_languages(df.limit(0), model).count() == 0
 
 
+def test_texts_in_several_languages_stay(spark):
+    text = {"ru": "нет да слово дело", "el": "ναι οχι λογος", "en": "yes no word deed"}
+    df = spark.createDataFrame([(100 * i + j, t, lang) for i, (lang, t) in enumerate(text.items()) for j in range(40)],
+                               "doc_id long, text string, lang string")
+    model = language_spans.fit(df)
+    three = " ".join((t + " ") * 20 for t in text.values())
+    rows = [(1, three), (2, (text["en"] + " ") * 20 + (text["ru"] + " ") * 20), (3, "שלום " * 30 + "yes no"), (4, None), (5, "12 !?"),
+            (6, "yes no word " * 9 + "שלום")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in language_spans.label_languages(texts, model).collect()}
+    assert score[1] < 0.5
+    assert {r["doc_id"] for r in language_spans.keep_languages(texts, model, 0.5).collect()} == {1, 2, 6}
+
+
+def test_stage_without_training_raises(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(1, "some words", None), (None, "words", "en")], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="no language learned"):
+        corpus_pipeline.keep_known_languages(spark, df, SF)
+    assert corpus_pipeline.keep_known_languages(spark, df.limit(0), SF).count() == 0
+
+
 def test_script_narrows(spark):
     rows = [(i, "нет да слово дело", "ru") for i in range(40)] + [(100 + i, "ναι οχι λογος", "el") for i in range(40)] \
         + [(200 + i, "yes no word deed", "en") for i in range(40)]

@@ -136,6 +136,7 @@ class WordScores:
     def forget(self):
         self.memo: dict[str, int] = {}
         self.table = np.zeros((1 << 12, len(self.model.languages)), np.float32)
+        self.known = np.zeros(1 << 12, bool)  # words in a script of some language
 
     def learn(self, words: list[str]) -> None:
         m = self.model
@@ -154,10 +155,13 @@ class WordScores:
             grown = np.zeros((max(2 * len(self.table), have + n), s.shape[1]), np.float32)
             grown[:have] = self.table[:have]
             self.table = grown
+            self.known = np.concatenate((self.known[:have], np.zeros(len(grown) - have, bool)))
         self.table[have:have + n] = np.maximum(s, FLOOR)
+        self.known[have:have + n] = known.any(axis=1)
         self.memo.update(zip(words, range(have, have + n)))
 
-    def rows(self, texts: list[list[str]]) -> np.ndarray:
+    def rows(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The log posteriors of all words, and whether their script is known."""
         new = list(set().union(*texts) - self.memo.keys())
         if len(self.memo) + len(new) > MEMO_ENTRIES:
             self.forget()
@@ -165,7 +169,8 @@ class WordScores:
         for i in range(0, len(new), 50_000):
             self.learn(new[i:i + 50_000])
         get = self.memo.__getitem__
-        return self.table[np.fromiter((i for t in texts for i in map(get, t)), np.int64, sum(map(len, texts)))]
+        at = np.fromiter((i for t in texts for i in map(get, t)), np.int64, sum(map(len, texts)))
+        return self.table[at], self.known[at]
 
 
 def viterbi(score: np.ndarray, count: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -211,34 +216,36 @@ SPAN = pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("lang",
 
 
 class Labeller:
-    """Language, score and spans of the texts of a batch."""
+    """Language, score, spans, and share of letters in words of a known script, of the texts of a batch."""
 
     def __init__(self, model: Model):
         self.names = pa.array([*model.languages, "und"])
         self.m = len(model.languages)
         self.scores = WordScores(model)
 
-    def __call__(self, col: pa.Array) -> tuple[pa.Array, np.ndarray, pa.ListArray]:
-        score, count, letters, m = [], [], [], self.m
+    def __call__(self, col: pa.Array) -> tuple[pa.Array, np.ndarray, pa.ListArray, np.ndarray]:
+        score, known, count, letters, m = [], [], [], [], self.m
         for a, b in slices(col, READ_BYTES):
             texts = [LETTERS.findall(t.lower()) if t and m else [] for t in col.slice(a, b - a).to_pylist()]
-            score.append(self.scores.rows(texts))
+            for into, part in zip((score, known), self.scores.rows(texts)):
+                into.append(part)
             count.append(np.fromiter(map(len, texts), np.int64, len(texts)))
             letters.append(np.fromiter((len(w) for t in texts for w in t), np.int64, int(count[-1].sum())))
-        score, count, letters = map(np.concatenate, (score, count, letters))
+        score, known, count, letters = map(np.concatenate, (score, known, count, letters))
         label = viterbi(score, count)
         doc = np.repeat(np.arange(len(count)), count)
         share = np.bincount(doc * max(m, 1) + label, weights=letters, minlength=len(count) * max(m, 1)).reshape(len(count), -1)
         total = share.sum(axis=1)
         pred = np.where(total > 0, share.argmax(axis=1), m)
         part = np.divide(share.max(axis=1), total, out=np.zeros(len(count)), where=total > 0)
+        known = np.divide(np.bincount(doc, weights=letters * known, minlength=len(count)), total, out=np.zeros(len(count)), where=total > 0)
         new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])))) if len(doc) else doc
         stop = np.append(new[1:], len(doc)) if len(doc) else new
         base = (np.cumsum(count) - count)[doc[new]]
         spans = pa.StructArray.from_arrays([pa.array((new - base).astype(np.int32)), pa.array((stop - base).astype(np.int32)),
                                             self.names.take(pa.array(label[new].astype(np.int64)))], fields=list(SPAN))
         off = np.searchsorted(doc[new], np.arange(len(count) + 1)).astype(np.int32)
-        return self.names.take(pa.array(pred)), part, pa.ListArray.from_arrays(pa.array(off), spans)
+        return self.names.take(pa.array(pred)), part, pa.ListArray.from_arrays(pa.array(off), spans), known
 
 
 def label_languages(docs: DataFrame, model: Model) -> DataFrame:
@@ -248,7 +255,7 @@ def label_languages(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for a, b in slices(batch["text"], LABEL_BYTES):
                 part = batch.slice(a, b - a)
-                pred, score, spans = label(part["text"])
+                pred, score, spans, _ = label(part["text"])
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pred, pa.array(score), spans],
                                                  ["doc_id", "lang_pred", "score", "spans"])
     return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
@@ -256,13 +263,16 @@ def label_languages(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_languages(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language with at least that score."""
+    """The rows of ``docs``, all columns, whose text has a language and at least that share of its letters in spans of known
+    languages, however many: in words of a script that some language is written in. A model without languages raises."""
+    if not model.languages and not docs.isEmpty():
+        raise ValueError("no language learned: no document outside the held-out ones has an id, a text and a lang")
     def run(batches):
         label = Labeller(model)
         for batch in batches:
             for a, b in slices(batch["text"], LABEL_BYTES):
                 part = batch.slice(a, b - a)
-                pred, score, _ = label(part["text"])
-                kept = pa.array((score >= least_score) & (pred.to_numpy(zero_copy_only=False) != "und"))
+                pred, _, _, known = label(part["text"])
+                kept = pa.array((known >= least_score) & (pred.to_numpy(zero_copy_only=False) != "und"))
                 yield part.filter(kept)
     return small_batches(docs).mapInArrow(run, docs.schema)
