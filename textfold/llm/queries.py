@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from public_tokenizers import path as tokenizer_path
 
 from . import (edit_decontam, jaccard_join, language_spans, license_scan, multi_index, pareto_mix, repair_output, superkmer,
-               token_counts, wrapper_extract)
+               token_counts, warc, wrapper_extract)
+from .shared import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -110,6 +111,14 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.link_documents(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_warc(spark, sf_dir):
+    """A record per page written as WARC archives, and read back by byte ranges."""
+    path = scratch(spark, "warc")
+    warc.write_warc(_table(spark, sf_dir, "pages"), path)
+    return warc.page_records(warc.read_warc(spark, path))
+
+
 def _pareto_sql(seed: int = pareto_mix.SEED, fills: int = pareto_mix.FILLS) -> str:
     """The mix with plain windows: each source is sorted as a whole."""
     key = "odds, u, doc_id, size"
