@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from public_tokenizers import path as tokenizer_path
 
 from . import (edit_decontam, jaccard_join, language_spans, license_scan, multi_index, pareto_mix, repair_output, superkmer,
-               token_counts, warc, wrapper_extract)
+               token_counts, token_groups, turn_repair, warc, wrapper_extract)
 from .shared import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +111,12 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.link_documents(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_token_groups(spark, sf_dir):
+    """Tokens of two tokenizers in groups of equal bytes, and how often their id pairs occur corpus-wide."""
+    return token_groups.align_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 @query
 def op12_warc(spark, sf_dir):
     """A record per page written as WARC archives, and read back by byte ranges."""
@@ -119,6 +125,12 @@ def op12_warc(spark, sf_dir):
     return warc.page_records(warc.read_warc(spark, path))
 
 
+@query
+def op13_turn_repair(spark, sf_dir):
+    """Damaged conversations and their cheapest repair, by a run-length dynamic programme."""
+    return turn_repair.repair_report(_table(spark, sf_dir, "conversations"))
+
+
 def _pareto_sql(seed: int = pareto_mix.SEED, fills: int = pareto_mix.FILLS) -> str:
     """The mix with plain windows: each source is sorted as a whole."""
     key = "odds, u, doc_id, size"
