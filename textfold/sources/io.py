@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from ..plans.ordering import ordered_prefix
+from . import quoted_csv
 
 
 def file_table(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -72,13 +73,9 @@ def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return _ordered_records(spark, [paths] if isinstance(paths, str) else paths, None)
 
 
-def read_labeled_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """A3: headed CSV with quoted multi-line text and an explicit schema.
-
-    ``multiLine`` files cannot be split; convert them to Parquet once (``materialize_once``).
-    """
-    return (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-            .option("multiLine", True).schema(schema).csv(path))
+def read_labeled_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType | str) -> DataFrame:
+    """A3: headed CSV with quoted multi-line text and an explicit schema, read by splits (``quoted_csv``)."""
+    return quoted_csv.parse_records(quoted_csv.read_records(spark, path), schema).drop("file", "block", "record_no")
 
 
 def read_pairs(spark: SparkSession, paths: str | Sequence[str], n_fields: int = 3, mode: str = "strict",
@@ -112,10 +109,11 @@ def read_unlabeled_pairs(spark: SparkSession, paths: str | Sequence[str]) -> Dat
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Write a table (Parquet by default; CSV with header and doubled-quote escaping)."""
+    """Write a table (Parquet by default; CSV with header, doubled-quote escaping and outer blanks kept)."""
     w = df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+        keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        w.options(header=True, quote='"', escape='"', **keep).csv(path)
     else:
         w.format(fmt).save(path)
 
