@@ -15,8 +15,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.steps import Steps
 from ..session import table_path
 
 
@@ -65,9 +69,45 @@ def fit(adds: DataFrame, k: int, path: str | None = None) -> TokenMeans:
     return TokenMeans(tokens, base, k)
 
 
-def predict(rows: DataFrame, model: TokenMeans) -> DataFrame:
-    """``(row_id, p array)``: each row's prediction in every fold, from one match per token."""
+# Largest token table that is sent to the tasks; beyond it tokens are joined.
+MAX_LOCAL_TOKENS = 1_000_000
+
+
+def _predict_in_place(rows: DataFrame, local: pa.Table, base: list[int | None], k: int) -> DataFrame:
+    """Each row's tokens looked up where they are: no shuffle, and no key that is in every row."""
+    sent = rows.sparkSession.sparkContext.broadcast((local["token"].combine_chunks(), [
+        local["v"].combine_chunks().flatten().take(pa.array(np.arange(f, k * local.num_rows, k))) for f in range(k)], base))
+
+    def run(batches):
+        known, values, base = sent.value
+        for batch in batches:
+            toks = batch["toks"]
+            n = toks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.concatenate(([0], np.cumsum(n)))
+            words = toks.flatten().dictionary_encode()
+            at = pc.index_in(words.dictionary.cast(known.type), value_set=known).take(words.indices)
+            out = []
+            for f in range(k):
+                v = values[f].take(at)
+                there = v.is_valid().to_numpy(zero_copy_only=False)
+                v = v.fill_null(0).to_numpy(zero_copy_only=False)
+                total, many = (np.diff(np.concatenate(([0], np.cumsum(x, dtype=np.int64)))[ends]) for x in (v, there))
+                total += base[f]
+                out.append(np.sign(total) * (np.abs(total) // (many + 1)))  # towards zero, like div
+            flat = pa.array(np.stack(out, 1).reshape(-1))
+            yield pa.RecordBatch.from_arrays([batch["row_id"], pa.ListArray.from_arrays(pa.array(np.arange(0, k * len(n) + 1, k), pa.int32()), flat)], ["row_id", "p"])
+
+    return rows.select("row_id", "toks").mapInArrow(run, f"row_id {rows.schema['row_id'].dataType.simpleString()}, p array<bigint>")
+
+
+def predict(rows: DataFrame, model: TokenMeans, max_local: int = MAX_LOCAL_TOKENS) -> DataFrame:
+    """``(row_id, p array)``: each row's prediction in every fold. A token table of at most ``max_local`` rows is sent to the tasks; a larger one
+    meets the tokens in one join for all folds, with the same result."""
     k = model.folds
+    local = model.tokens.select("token", "v").limit(max_local + 1).toArrow()
+    first = model.base.select("v").first()["v"]
+    if local.num_rows <= max_local and all(x is not None for x in first):
+        return _predict_in_place(rows, local, first, k)
     found = rows.select("row_id", F.explode("toks").alias("token")).join(model.tokens, "token").groupBy("row_id").agg(
         *[F.sum(F.col("v")[f]).alias(f"s{f}") for f in range(k)], *[F.count(F.col("v")[f]).alias(f"n{f}") for f in range(k)])
     base = model.base.select("v").scalar()
@@ -76,18 +116,22 @@ def predict(rows: DataFrame, model: TokenMeans) -> DataFrame:
     return d.select("row_id", F.array(*p).alias("p"))
 
 
+def blend(predictions: DataFrame, n: int, k: int, weights: Sequence[float] | None = None) -> DataFrame:
+    """``(row_id, t array)``, per fold the mean of the first ``n`` teachers' predictions ``p0, p1, ...``, or their weighted sum, rounded down."""
+    if weights is None:
+        t = [F.expr(f"({' + '.join(f'p{i}[{f}]' for i in range(n))}) div {n}") for f in range(k)]
+    else:
+        t = [F.floor(sum((F.lit(w) * F.col(f"p{i}")[f] for i, w in enumerate(weights)), F.lit(0.0))) for f in range(k)]
+    return predictions.select("row_id", F.array(*[x.cast("bigint") for x in t]).alias("t"))
+
+
 def teach(extra: DataFrame, teachers: Sequence[TokenMeans], weights: Sequence[float] | None = None) -> DataFrame:
-    """``(row_id, t array)``, per fold the mean of the teachers, or their weighted sum, rounded down."""
+    """The labels that the teachers give together."""
     d = None
     for i, m in enumerate(teachers):
         p = predict(extra, m).withColumnRenamed("p", f"p{i}")
         d = p if d is None else d.join(p, "row_id")
-    k, n = teachers[0].folds, len(teachers)
-    if weights is None:
-        t = [F.expr(f"({' + '.join(f'p{i}[{f}]' for i in range(n))}) div {n}") for f in range(k)]
-    else:
-        t = [F.floor(sum((F.lit(w) * F.col(f"p{i}")[f] for i, w in enumerate(weights)), F.lit(0.0))) for f in range(k)]
-    return d.select("row_id", F.array(*[x.cast("bigint") for x in t]).alias("t"))
+    return blend(d, len(teachers), teachers[0].folds, weights)
 
 
 def average(labels: DataFrame, k: int) -> DataFrame:
@@ -131,25 +175,90 @@ def run_cycles(train: DataFrame, extra: DataFrame, k: int = 5, times: int = 3, n
 
     Cycle 0 fits the first teacher on the training rows. Cycle 1: its fold labels teach fold-wise students. Cycle 2: both
     teachers, weighted, teach one student of the average label, validated on all training rows; fold students carry it on. Cycle 3: the same
-    with the mean of three teachers. Each cycle's model is written to the shared folder before the next begins.
-    """
-    def at(step: str) -> str:
-        return table_path(train.sparkSession, f"{name}/{step}")
+    with the mean of three teachers.
 
-    teachers = [fit(_train_adds(train, k, 1), k, at("teacher"))]
-    out = [(0, "folds", validate(train, teachers[0], True))]
+    Every model and every teacher's predictions are steps, written once below the shared folder under ``name``: a run that
+    ended early, called again with the same rows and parameters, reads the finished steps and makes the others.
+    """
+    steps = Steps(train.sparkSession, table_path(train.sparkSession, name), {"k": k, "times": times, "two_teachers": TWO_TEACHERS},
+                  {"train": train, "extra": extra})
+
+    def model(step: str, make, folds: int = k) -> TokenMeans:
+        """The step's model; one table, in which the value for all rows has no token."""
+        def table() -> DataFrame:
+            m = make()
+            return m.tokens.unionByName(m.base.select(F.lit(None).cast("string").alias("token"), "v"))
+        both = steps.table(step, table)
+        return TokenMeans(both.filter("token IS NOT NULL"), both.filter("token IS NULL").select("v"), folds)
+
+    def predicted(i: int, teacher: TokenMeans, before: DataFrame | None) -> DataFrame:
+        """Predictions p0 to pi of the extra rows, the i-th teacher's beside the stored ones of the earlier teachers."""
+        def table() -> DataFrame:
+            p = predict(extra, teacher).withColumnRenamed("p", f"p{i}")
+            return p if before is None else before.join(p, "row_id")
+        return steps.table(f"predictions-{i}", table)
+
+    def score(cycle: int, stage: str, m: TokenMeans) -> DataFrame:
+        done = steps.table(f"score-{cycle}-{stage}", lambda: validate(train, m, stage == "folds"))
+        return done.select(F.lit(cycle).alias("cycle"), F.lit(stage).alias("stage"), "fold", "n_rows", "rmse")
+
+    teacher = model("teacher", lambda: fit(_train_adds(train, k, 1), k))
+    known = predicted(0, teacher, None)
+    out = score(0, "folds", teacher)
     for cycle, weights in ((1, None), (2, TWO_TEACHERS), (3, None)):
-        labels = teach(extra, teachers, weights)
+        labels = blend(known, cycle, k, weights)
         if cycle == 1:
-            student = fold_wise_student(train, extra, labels, k, times, at(f"cycle{cycle}"))
+            student = model("student-1", lambda: fold_wise_student(train, extra, labels, k, times))
         else:
-            single = single_student(extra, labels, k, at(f"single{cycle}"))
-            out.append((cycle, "single", validate(train, single, False)))
-            student = continued(train, extra, labels, k, times, at(f"cycle{cycle}"))
-        out.append((cycle, "folds", validate(train, student, True)))
-        teachers.append(student)
-    rows = [d.select(F.lit(c).alias("cycle"), F.lit(s).alias("stage"), "fold", "n_rows", "rmse") for c, s, d in out]
-    result = rows[0]
-    for r in rows[1:]:
-        result = result.unionByName(r)
-    return result
+            single = model(f"single-{cycle}", lambda: single_student(extra, labels, k), 1)
+            out = out.unionByName(score(cycle, "single", single))
+            student = model(f"student-{cycle}", lambda: continued(train, extra, labels, k, times))
+        out = out.unionByName(score(cycle, "folds", student))
+        if cycle < 3:
+            known = predicted(cycle, student, known)
+    return out
+
+
+# ---------------------------------------------------------------- I3, second stage, by steps from the single student's values
+
+def _own_values(train: DataFrame, start: TokenMeans, k: int) -> TokenMeans:
+    """The single student's values for every fold; a training token it doesn't know begins with its value for all rows."""
+    base = start.base.select(F.array_repeat(F.col("v")[0], k).alias("v"))
+    new = train.select(F.explode("toks").alias("token")).distinct().join(start.tokens.select("token"), "token", "left_anti")
+    new = new.select("token", base.scalar().alias("v"))
+    return TokenMeans(start.tokens.select("token", F.array_repeat(F.col("v")[0], k).alias("v")).unionByName(new), base, k)
+
+
+def _gradients(train: DataFrame, model: TokenMeans) -> tuple[DataFrame, DataFrame]:
+    """Sums of the errors, and how many rows, per token and over all rows, of each fold's training rows: summed in the tasks before the shuffle."""
+    k = model.folds
+    e = train.join(predict(train, model), "row_id")
+    out = [F.col("kfold") != f for f in range(k)]
+    e = e.select("toks", F.array(*[F.when(o, F.col("target") - F.col("p")[f]).otherwise(F.lit(0)) for f, o in enumerate(out)]).alias("s"),
+                 F.array(*[o.cast("bigint") for o in out]).alias("c"))
+    per = e.select(F.explode("toks").alias("token"), "s", "c").groupBy("token").agg(*_means(k))
+    return per, e.agg(*_means(k))
+
+
+def warm_start(train: DataFrame, start: TokenMeans, k: int, epochs: int, path: str) -> list[TokenMeans]:
+    """Every fold's model goes on from the single student ``start`` on its own training rows; the models before and after each epoch.
+
+    An epoch moves a token's value by half the mean error (towards zero) of the fold's training rows that hold it, and the value for all rows by half the
+    mean error of all; one pass over the training rows serves all folds. The models are written below ``path``, epoch by epoch.
+    """
+    def written(m: TokenMeans, epoch: int) -> TokenMeans:
+        m.tokens.write.parquet(f"{path}/epoch-{epoch}/tokens")
+        m.base.write.parquet(f"{path}/epoch-{epoch}/base")
+        read = train.sparkSession.read
+        return TokenMeans(read.parquet(f"{path}/epoch-{epoch}/tokens"), read.parquet(f"{path}/epoch-{epoch}/base"), k)
+
+    def moved(v: str, f: int) -> Column:
+        return F.expr(f"{v}[{f}] + CASE WHEN coalesce(x{k + f}, 0) > 0 THEN x{f} div (2 * x{k + f}) ELSE 0 END")
+
+    models = [written(_own_values(train, start, k), 0)]
+    for epoch in range(1, epochs + 1):
+        per, whole = _gradients(train, models[-1])
+        tokens = models[-1].tokens.join(per, "token", "left").select("token", F.array(*[moved("v", f) for f in range(k)]).alias("v"))
+        base = whole.withColumn("v", models[-1].base.select("v").scalar()).select(F.array(*[moved("v", f) for f in range(k)]).alias("v"))
+        models.append(written(TokenMeans(tokens, base, k), epoch))
+    return models

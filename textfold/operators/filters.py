@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -75,6 +76,40 @@ def dedup(df: DataFrame) -> DataFrame:
     return df.distinct()
 
 
+def row_digest(cols: Sequence[str]) -> Column:
+    """128-bit digest of the values of ``cols``: nulls, empty texts and borders between values are told apart."""
+    def one(c: str) -> Column:
+        text = F.col(c).cast("string")
+        return F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text))
+    return F.unhex(F.md5(F.concat(*[one(c) for c in cols])))
+
+
+def dedup_by_digest(df: DataFrame, key: str, cols: Sequence[str], digest: Column | None = None) -> DataFrame:
+    """D3 for long texts: of rows equal in ``cols`` (null-safe) the one with the smallest ``key`` stays, with all its columns.
+
+    ``key`` is unique. Only digests and keys go through the first exchange. Rows whose digest occurs once stay unread; the values of the others
+    alone are compared, so equal digests of different rows lose nothing. The keys that go are written as a table, whose size
+    tells the planner whether rows must move at all to drop them.
+    """
+    ids = df.select(F.col(key).alias("__key"), (row_digest(cols) if digest is None else digest).alias("__digest"))
+    twice = ids.groupBy("__digest").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__digest")
+    suspects = ids.join(twice, "__digest", "left_semi").select("__key")
+    # A bounded list on most data: the size of this table, too, is known before it is used.
+    suspects = _written(suspects, "dedup-suspects")
+    values = df.select(F.col(key).alias("__key"), *cols).join(suspects, "__key", "left_semi")
+    first = values.groupBy(*cols).agg(F.min("__key").alias("__key")).select("__key")
+    gone = _written(suspects.join(first, "__key", "left_anti"), "dedup-gone")
+    return df.join(gone, df[key] == gone["__key"], "left_anti")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    from ..session import table_path
+
+    path = table_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def mix_pseudo(pseudo: DataFrame, train: DataFrame, fold: int, times: int = 3,
                fold_col: str = "kfold", cols: Sequence[str] = ("row_id", "excerpt", "target")) -> DataFrame:
     """Pseudo-labelled rows plus ``times`` copies of the out-of-fold training rows.

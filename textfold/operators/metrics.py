@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import bce_with_logits, decide
 from .batching import assign_batches
@@ -72,6 +72,19 @@ def cv_summary(scores: DataFrame, metric: str, fold_col: str = "fold", by: Seque
                       F.count(F.lit(1)).alias("n_folds"))
 
 
+def _checkpoint_rule(rule: str, centre: int, radius: int, acc_steps: int) -> Column:
+    s = F.col("step")
+    if rule == "a":
+        return (s >= centre - radius) & (s <= centre + radius) & (((s + 1) % acc_steps) == 0)
+    if rule == "b":
+        return (F.col("epoch") > 0) & (((s + 1) % (100 * acc_steps)) == 0)
+    if rule == "c":
+        return (s >= centre - radius) & (((s + 1) % 1000) == 0)
+    if rule == "d":
+        return ((s + 1) % (100 * acc_steps)) == 0
+    raise ValueError(f"unknown rule {rule!r}")
+
+
 def best_checkpoint(log: DataFrame, rule: str, centre: int = 0, radius: int = 0, acc_steps: int = 1,
                     metric: str = "metric") -> DataFrame:
     """H7: best validation row per fold, strict improvement (the earliest wins a tie).
@@ -80,20 +93,18 @@ def best_checkpoint(log: DataFrame, rule: str, centre: int = 0, radius: int = 0,
     ``b`` epoch > 0 on every ``100 * acc_steps``-th step, min; ``c`` step >= centre - radius on every
     1000th step, max (accuracy); ``d`` every ``100 * acc_steps``-th step, min.
     """
-    s = F.col("step")
-    if rule == "a":
-        cond = (s >= centre - radius) & (s <= centre + radius) & (((s + 1) % acc_steps) == 0)
-    elif rule == "b":
-        cond = (F.col("epoch") > 0) & (((s + 1) % (100 * acc_steps)) == 0)
-    elif rule == "c":
-        cond = (s >= centre - radius) & (((s + 1) % 1000) == 0)
-    elif rule == "d":
-        cond = ((s + 1) % (100 * acc_steps)) == 0
-    else:
-        raise ValueError(f"unknown rule {rule!r}")
-    m = -F.col(metric) if rule == "c" else F.col(metric)
-    best = (log.filter(cond)
-               .groupBy("fold").agg(F.min(F.struct(m.alias("k"), F.col("epoch"), F.col("step"),
-                                                   F.col(metric).alias("v"))).alias("b")))
-    return best.select("fold", F.col("b.epoch").alias("epoch"), F.col("b.step").alias("step"),
-                       F.col("b.v").alias(metric))
+    return best_checkpoints(log, {rule: metric}, centre, radius, acc_steps).select("fold", "epoch", "step", F.col("metric").alias(metric))
+
+
+def best_checkpoints(log: DataFrame, rules: dict[str, str], centre: int = 0, radius: int = 0, acc_steps: int = 1) -> DataFrame:
+    """H7 by several rules, each with its metric's column, from one pass over the log: ``rule, fold, epoch, step, metric``.
+    A fold in which no row meets a rule has no row for it."""
+    best = []
+    for rule, metric in rules.items():
+        m = -F.col(metric) if rule == "c" else F.col(metric)
+        row = F.struct(m.alias("k"), F.col("epoch"), F.col("step"), F.col(metric).alias("v"))
+        best.append(F.min(F.when(_checkpoint_rule(rule, centre, radius, acc_steps), row)).alias(f"best_{rule}"))
+    per = log.groupBy("fold").agg(*best)
+    each = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"best_{r}").alias("b")) for r in rules])
+    return per.select("fold", F.explode(each).alias("x")).filter("x.b IS NOT NULL").select(
+        F.col("x.rule").alias("rule"), "fold", "x.b.epoch", "x.b.step", F.col("x.b.v").alias("metric"))

@@ -14,9 +14,12 @@ fold-f training statistic is the total minus fold f's own share.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..session import table_path
 
 BIAS_TOKEN = "\u0000bias"
 SCALE = 1000  # fixed-point scale of weights and logits
@@ -103,14 +106,6 @@ def score_own_fold(rows: DataFrame, tokens_col: str, weights: DataFrame, binary_
     return s.withColumn("logit", F.col("logit_milli") / F.lit(float(SCALE)))
 
 
-def score_with(df: DataFrame, fn, schema: str) -> DataFrame:
-    """G1 for any user model: ``fn(iterator of pandas.DataFrame) -> iterator of pandas.DataFrame``.
-
-    Runs once per Arrow batch inside the task (load the model once per task in ``fn``).
-    """
-    return df.mapInPandas(fn, schema)
-
-
 def drop_padding(pred: DataFrame, key: str = "row_id") -> DataFrame:
     """One prediction per (row, model, fold). A sampler's padding repeats a row with the same value; two different
     values for one key raise instead of one of them being lost."""
@@ -158,76 +153,45 @@ def class_token_stats(train: DataFrame, tokens_col: str, label: str, vocab: Data
     return both.groupBy(fold_col, label, "token").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
 
 
-def _round_half_away(x):
-    import numpy as np
-
-    return (np.sign(x) * np.floor(np.abs(x) + 0.5)).astype("int64")
-
-
 def fit_token_weights(train: DataFrame, tokens_col: str, label: str, vocab: DataFrame, k: int = 5,
-                      models=("nb", "presence"), key: str = "row_id", fold_col: str = "kfold",
-                      max_vocab: int = 1_000_000) -> DataFrame:
-    """I1 (re-aimed): per-fold log-ratio token weights for a 0/1 label, fitted on ``kfold <> f``.
+                      models=("nb", "presence"), fold_col: str = "kfold") -> DataFrame:
+    """I1 (re-aimed): per-fold log-ratio token weights for a 0/1 label, fitted on ``kfold <> f``; returns ``model, fold, token, w``.
 
     ``nb``: multinomial naive Bayes with add-one smoothing over the vocabulary,
     ``w = ln((c1+1)/(N1+V)) - ln((c0+1)/(N0+V))``. ``presence``: document frequencies,
     ``w = ln((d1+1)/(n1+2)) - ln((d0+1)/(n0+2))``. Bias ``ln(n1/n0)`` (training documents).
     Weights are rounded (half away from zero) to integer milli-units.
 
-    As in Spark ML's naive Bayes, the sufficient statistics are aggregated on the
-    executors in one pass; the small per-(fold, class, token) table (checked: at
-    most 2 x k x V rows) is finished on the driver and returned as a local
-    relation of at most (V+1) x k x models rows, ready to broadcast.
+    One pass gathers the statistics, one row per token holds those of all folds' training rows, and the logarithms are taken there; only the
+    totals (4 x k numbers) reach the driver. The token table is written to the shared folder, where its lineage ends.
     """
-    import numpy as np
-    import pandas as pd
-
-    from ..plans.local import to_local
-
-    spark = train.sparkSession
-    v = to_local(vocab.select("token"), max_vocab)
-    vocab_pd = v.toPandas()
-    n_vocab = len(vocab_pd)
-    stats = class_token_stats(train, tokens_col, label, v, fold_col)
-    st_all = to_local(stats, 2 * k * (max_vocab + 1)).toPandas()
-    dn = st_all[st_all["token"] == BIAS_TOKEN].rename(columns={"d": "n"})
-    st = st_all[st_all["token"] != BIAS_TOKEN]
-    tokens = vocab_pd["token"].to_numpy()
-    idx = {t: i for i, t in enumerate(tokens)}
-
-    def slot(f):  # rows outside folds 0..k-1 are never held out: extra slot k
-        f = f.astype("int64")
-        return np.where((f >= 0) & (f < k), f, k)
-
-    # per (stat, class): array (k, V) of training totals = all rows - rows of fold f
-    arr = {}
-    for m in ("c", "d"):
-        for y in (0, 1):
-            a = np.zeros((k + 1, n_vocab), dtype=np.int64)
-            sub = st[st[label] == y]
-            np.add.at(a, (slot(sub[fold_col].to_numpy()), sub["token"].map(idx).to_numpy()), sub[m].to_numpy())
-            arr[(m, y)] = a.sum(axis=0, keepdims=True) - a[:k]
-    nd = np.zeros((2, k + 1), dtype=np.int64)
-    np.add.at(nd, (dn[label].to_numpy().astype("int64"), slot(dn[fold_col].to_numpy())), dn["n"].to_numpy())
-    n_train = nd.sum(axis=1, keepdims=True) - nd[:, :k]  # (2, k): training documents per class and fold
-    if (n_train <= 0).any():
+    unknown = [m for m in models if m not in ("nb", "presence")]
+    if unknown:
+        raise ValueError(f"unknown model {unknown[0]!r}")
+    stats = class_token_stats(train, tokens_col, label, vocab, fold_col)
+    # Rows outside folds 0..k-1 are never held out.
+    sums = [F.coalesce(F.sum(F.when((F.col(label) == y) & ~F.col(fold_col).eqNullSafe(F.lit(f)), F.col(m))), F.lit(0)).alias(f"{m}{y}_{f}")
+            for m in "cd" for y in (0, 1) for f in range(k)]
+    names = [f"{m}{y}_{f}" for m in "cd" for y in (0, 1) for f in range(k)]
+    path = table_path(train.sparkSession, f"token-stats-{uuid.uuid4().hex}")
+    stats.groupBy("token").agg(*sums).write.parquet(path)
+    per = train.sparkSession.read.parquet(path)
+    is_bias = F.col("token") == BIAS_TOKEN
+    total = per.agg(*[F.sum(F.when(~is_bias, F.col(c))).alias(c) for c in names if c[0] == "c"],
+                    *[F.sum(F.when(is_bias, F.col(c))).alias(c) for c in names if c[0] == "d"]).first()
+    if any(not total[f"d{y}_{f}"] for y in (0, 1) for f in range(k)):
         raise ValueError("every fold's training rows must contain both classes (0 and 1)")
-    frames = []
-    for model in models:
-        if model == "nb":
-            c0, c1 = arr[("c", 0)], arr[("c", 1)]
-            t0, t1 = c0.sum(axis=1, keepdims=True), c1.sum(axis=1, keepdims=True)
-            w = np.log((c1 + 1) / (t1 + n_vocab)) - np.log((c0 + 1) / (t0 + n_vocab))
-        elif model == "presence":
-            d0, d1 = arr[("d", 0)], arr[("d", 1)]
-            w = (np.log((d1 + 1) / (n_train[1][:, None] + 2)) - np.log((d0 + 1) / (n_train[0][:, None] + 2)))
-        else:
-            raise ValueError(f"unknown model {model!r}")
-        wi = _round_half_away(w * SCALE)
-        bias = _round_half_away(np.log(n_train[1] / n_train[0]) * SCALE)
-        frames.append(pd.DataFrame({"model": model, "fold": np.repeat(np.arange(k), n_vocab).astype("int32"),
-                                    "token": np.tile(tokens, k), "w": wi.reshape(-1)}))
-        frames.append(pd.DataFrame({"model": model, "fold": np.arange(k).astype("int32"),
-                                    "token": BIAS_TOKEN, "w": bias}))
-    out = pd.concat(frames, ignore_index=True)
-    return spark.createDataFrame(out, schema="model string, fold int, token string, w bigint")
+    n_vocab = vocab.count()
+    n = {c: total[c] or 0 for c in names}
+
+    def ratio(m: str, f: int, more: tuple[int, int]) -> Column:
+        one, zero = (F.log((F.coalesce(F.col(f"{m}{y}_{f}"), F.lit(0)) + 1) / F.lit(n[f"{m}{y}_{f}"] + more[y])) for y in (1, 0))
+        return F.round((one - zero) * SCALE).cast("bigint")
+
+    each = [F.struct(F.lit(model).alias("model"), F.lit(f).alias("fold"),
+                     (ratio("c", f, (n_vocab, n_vocab)) if model == "nb" else ratio("d", f, (2, 2))).alias("w")) for model in models for f in range(k)]
+    weights = vocab.select("token").join(per.filter(~is_bias), "token", "left").select("token", F.explode(F.array(*each)).alias("x"))
+    bias = [F.struct(F.lit(model).alias("model"), F.lit(f).alias("fold"),
+                     F.round(F.log(F.lit(n[f"d1_{f}"]) / F.lit(n[f"d0_{f}"])) * SCALE).cast("bigint").alias("w")) for model in models for f in range(k)]
+    one = train.sparkSession.range(1).select(F.lit(BIAS_TOKEN).alias("token"), F.explode(F.array(*bias)).alias("x"))
+    return weights.unionByName(one).select("x.model", "x.fold", "token", "x.w")

@@ -74,10 +74,9 @@ def encode_columns(df: DataFrame, vocab: DataFrame, columns: dict[str, str], key
         for batch in batches:
             out = [batch[key]]
             for c in columns:
-                flat = batch[c].flatten()
-                if pa.types.is_large_string(flat.type):
-                    flat = flat.cast(pa.string())
-                found = pc.fill_null(ids.take(pc.index_in(flat, value_set=known)), UNK_ID)
+                flat = batch[c].flatten().dictionary_encode()  # each distinct token of a batch is looked up once
+                number = pc.fill_null(ids.take(pc.index_in(flat.dictionary.cast(known.type), value_set=known)), UNK_ID)
+                found = number.take(flat.indices)
                 n = pc.fill_null(pc.list_value_length(batch[c]), 0).to_numpy()
                 off = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
                 out.append(pa.ListArray.from_arrays(pa.array(off), found))

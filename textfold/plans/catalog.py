@@ -73,6 +73,13 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     return p.withColumn("row_id", F.concat_ws(":", "conv_id", "turn"))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder, for rows that several jobs of a query read."""
+    path = _fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def folded(spark: SparkSession, d: str) -> DataFrame:
     return folds.assign_folds(labelled(spark, d), "label", k=K, seed=SEED)
 

@@ -10,7 +10,7 @@ from .. import sources
 from ..functions.text import TOKEN_PATTERN
 from ..operators import distill, filters, folds, scoring, tokens
 from ..session import table_path
-from .catalog import K, SEED, SQL_LABELLED, SQL_PAIRS, docs, folded, labelled, pairs, query, sql_folds, table
+from .catalog import K, SEED, SQL_LABELLED, SQL_PAIRS, docs, folded, labelled, pairs, query, sql_folds, stored, table
 from .ordering import ordered_prefix
 
 TIMES = 3
@@ -24,16 +24,12 @@ def fresh(spark, name: str) -> str:
 
 def _cycle_rows(spark, d) -> tuple[DataFrame, DataFrame]:
     toks = F.array_distinct(tokens.tokenize(F.col("text"))).alias("toks")
-    lab = labelled(spark, d)
-    f = folds.assign_folds_regression(lab.select("row_id", "n_chars"), "n_chars", k=K, seed=SEED)
-    train = (lab.select("row_id", toks).join(f, "row_id")
-             .select("row_id", "toks", "kfold", (F.col("n_chars") * 1000).cast("bigint").alias("target")))
+    lab = stored(labelled(spark, d).select("row_id", "n_chars", toks), "cycle-labelled")
+    f = folds.assign_folds_regression(lab, "n_chars", k=K, seed=SEED)
+    train = f.select("row_id", "toks", "kfold", (F.col("n_chars") * 1000).cast("bigint").alias("target"))
     named = table(spark, d, "labels").select("doc_id")
     extra = docs(spark, d).join(named, "doc_id", "left_anti").select("row_id", toks)
-    store = fresh(spark, "cycle-rows")
-    train.write.parquet(f"{store}/train")
-    extra.write.parquet(f"{store}/extra")
-    return spark.read.parquet(f"{store}/train"), spark.read.parquet(f"{store}/extra")
+    return stored(train, "cycle-train"), stored(extra, "cycle-extra")
 
 
 SQL_CYCLE_ROWS = f"""
@@ -129,6 +125,46 @@ def q_run_cycles_reg(spark, d):
     return _rmse_row(distill.run_cycles(train, extra, K, TIMES, f"cycles-{uuid.uuid4().hex}"))
 
 
+WARM_EPOCHS = 2
+
+
+def _sql_warm(m: str, n: str) -> str:
+    """Model ``n`` after one epoch from model ``m``, whose predictions of the training rows are ``{m}_tr``."""
+    return f"""
+{n}_r AS (SELECT x.row_id, p.fold, x.y - p.p AS r FROM trow x JOIN {m}_tr p ON p.row_id = x.row_id WHERE x.kfold <> p.fold),
+{n}_v AS (SELECT v.fold, v.token, CAST(v.v + coalesce(g.g, 0) AS BIGINT) AS v FROM {m}_v v LEFT JOIN (
+  SELECT r.fold, t.token, CAST(sum(r.r) AS BIGINT) // (2 * count(*)) AS g FROM ttok t JOIN {n}_r r ON r.row_id = t.row_id GROUP BY r.fold, t.token) g
+  ON g.fold = v.fold AND g.token = v.token),
+{n}_b AS (SELECT b.fold, CAST(b.v + coalesce(g.g, 0) AS BIGINT) AS v FROM {m}_b b LEFT JOIN (
+  SELECT fold, CAST(sum(r) AS BIGINT) // (2 * count(*)) AS g FROM {n}_r GROUP BY fold) g ON g.fold = b.fold),
+{_sql_predict(f'{n}_tr', n, 'trow', 'ttok')}"""
+
+
+def _sql_epoch(epoch: int) -> str:
+    return _sql_validate(epoch, "folds", f"w{epoch}_tr").replace(" AS cycle, 'folds' AS stage", " AS epoch").replace("GROUP BY 3", "GROUP BY 2")
+
+
+@query("warm_start_reg", f"""{SQL_CYCLE_1},
+{_sql_average('one1', 'lab1', 1)}, {_sql_fit('g1', 'one1', None, 1)},
+w0_v AS (SELECT CAST(i AS BIGINT) AS fold, t.token, coalesce(g.v, b.v) AS v FROM (SELECT token FROM g1_v UNION SELECT token FROM ttok) t
+         CROSS JOIN g1_b b CROSS JOIN range({K}) r(i) LEFT JOIN g1_v g ON g.token = t.token),
+w0_b AS (SELECT CAST(i AS BIGINT) AS fold, v FROM g1_b, range({K}) r(i)),
+{_sql_predict('w0_tr', 'w0', 'trow', 'ttok')}, {', '.join(_sql_warm(f'w{e - 1}', f'w{e}') for e in range(1, WARM_EPOCHS + 1))}
+{' UNION ALL '.join(_sql_epoch(e) for e in range(WARM_EPOCHS + 1))}""")
+def q_warm_start_reg(spark, d):
+    """Fold models that go on from the single student's weights; RMSE of each fold's rows before and after each epoch."""
+    train, extra = _cycle_rows(spark, d)
+    teacher = distill.fit(distill._train_adds(train, K, 1), K, fresh(spark, "teacher"))
+    single = distill.single_student(extra, distill.teach(extra, [teacher]), K, fresh(spark, "single"))
+    models = distill.warm_start(train, single, K, WARM_EPOCHS, fresh(spark, "warm"))
+    out = None
+    for epoch, m in enumerate(models):
+        v = distill.validate(train, m, True).select(F.lit(epoch).alias("epoch"), F.col("fold").cast("bigint").alias("fold"), "n_rows",
+                                                    F.round("rmse", 6).alias("rmse"))
+        out = v if out is None else out.unionByName(v)
+    return out
+
+
 @query("mix_pseudo", f"""
 WITH {SQL_LABELLED}, {sql_folds('labelled', 'label', 'row_id')},
 x AS (SELECT CAST(doc_id AS VARCHAR) AS row_id, n_chars / 7.0 AS target FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))
@@ -156,15 +192,15 @@ def q_duplicates_across_folds(spark, d):
 
 # ---------------------------------------------------------------- files: order and identity of records
 
-LANGS = ("fr", "en", "de", "es")  # folders in an order that isn't alphabetical
+LANGS = ("fr", "en", "de", "es", None)  # folders in an order that isn't alphabetical; the last one for all other documents, null included
 
 
 def _write_folders(spark, d, name: str, sep: str | None) -> list[str]:
     base, out = fresh(spark, name), []
-    dd = table(spark, d, "documents")
+    dd = table(spark, d, "documents").withColumn("lang", F.when(F.col("lang").isin(list(LANGS[:-1])), F.col("lang")))
     for i, lang in enumerate(LANGS):
         path = f"{base}/{9 - i} {lang}+%"  # blanks and signs in the path; names sort the other way
-        part = dd.filter(F.col("lang") == lang).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").select("text")
+        part = dd.filter(F.col("lang").eqNullSafe(F.lit(lang))).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").select("text")
         w = part.write if sep is None else part.write.option("lineSep", sep)
         w.text(path)
         out.append(path)
@@ -176,12 +212,12 @@ def _numbered(records: DataFrame, order: str) -> DataFrame:
     return ordered_prefix(records, F.col("file_no"), [F.col("file_no"), F.col(order)], by=["path_no"], out="position", groups_bound=len(LANGS))
 
 
-_SQL_FOLDERS = "(VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(LANGS)) + ") f(path_no, lang)"
+_SQL_PATH_NO = f"CASE lang {' '.join(f'WHEN {x!r} THEN {i}' for i, x in enumerate(LANGS[:-1]))} ELSE {len(LANGS) - 1} END"
 
 
 @query("ordered_paragraphs", f"""
-SELECT f.path_no, row_number() OVER (PARTITION BY f.path_no ORDER BY d.doc_id) - 1 AS position, d.text
-FROM documents d JOIN {_SQL_FOLDERS} ON f.lang = d.lang
+WITH f AS (SELECT *, {_SQL_PATH_NO} AS path_no FROM documents)
+SELECT path_no, row_number() OVER (PARTITION BY path_no ORDER BY doc_id) - 1 AS position, text FROM f
 """)
 def q_ordered_paragraphs(spark, d):
     """A1: paragraphs of several folders, each at its place."""
@@ -190,8 +226,8 @@ def q_ordered_paragraphs(spark, d):
 
 
 @query("ordered_lines", f"""
-WITH l AS (SELECT f.path_no, d.doc_id, unnest(string_split(d.text, chr(10))) AS text, generate_subscripts(string_split(d.text, chr(10)), 1) AS i
-           FROM documents d JOIN {_SQL_FOLDERS} ON f.lang = d.lang)
+WITH l AS (SELECT {_SQL_PATH_NO} AS path_no, doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS i
+           FROM documents)
 SELECT path_no, row_number() OVER (PARTITION BY path_no ORDER BY doc_id, i) - 1 AS position, text FROM l
 """)
 def q_ordered_lines(spark, d):

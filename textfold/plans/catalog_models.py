@@ -8,7 +8,7 @@ from ..functions.hashing import hash_key
 from ..functions.numeric import bce_with_logits, decide, sigmoid
 from ..functions.text import TOKEN_PATTERN
 from ..operators import batching, ensemble, metrics, scoring, tokens
-from .catalog import K, SEED, SQL_LABELLED, SQL_PAIRS, docs, folded, labelled, pairs, query, sql_folds, table
+from .catalog import K, SEED, SQL_LABELLED, SQL_PAIRS, docs, folded, labelled, pairs, query, sql_folds, stored, table
 
 VOCAB = 2000
 VOCAB_LEN = VOCAB + tokens.N_SPECIAL
@@ -41,8 +41,13 @@ def encoded_docs(spark, d) -> DataFrame:
     return e.withColumn("doc_id", F.col("row_id").cast("bigint"))
 
 
-def model_weights(spark, d) -> DataFrame:
-    f = folded(spark, d).withColumn("toks", tokens.tokenize(F.col("text")))
+def folded_tokens(spark, d) -> DataFrame:
+    """Labelled rows with their folds and tokens; fitting and out-of-fold scoring both read them."""
+    return stored(folded(spark, d).select("row_id", "kfold", "label", tokens.tokenize(F.col("text")).alias("toks")), "folded-tokens")
+
+
+def model_weights(spark, d, rows: DataFrame | None = None) -> DataFrame:
+    f = folded(spark, d).withColumn("toks", tokens.tokenize(F.col("text"))) if rows is None else rows
     return scoring.fit_token_weights(f, "toks", "label", vocab(spark, d), k=K, models=("nb", "presence"))
 
 
@@ -54,8 +59,10 @@ def score_rows(spark, d, rows: DataFrame) -> DataFrame:
 
 
 def labelled_scores(spark, d) -> DataFrame:
-    rows = labelled(spark, d).withColumn("toks", tokens.tokenize(F.col("text"))).select("row_id", "toks")
-    return score_rows(spark, d, rows)
+    """Every labelled row by every (model, fold)."""
+    f = folded_tokens(spark, d)
+    return scoring.score_models(f.select("row_id", "toks"), "toks", model_weights(spark, d, f), binary_models=("presence",),
+                                weights_bound=2 * (VOCAB + 1) * K)
 
 
 def extra_rows(spark, d) -> DataFrame:
@@ -70,8 +77,8 @@ def extra_scores(spark, d) -> DataFrame:
 
 def oof(spark, d) -> DataFrame:
     """OOF predictions with labels: ``row_id, model, fold, logit, label``."""
-    f = folded(spark, d).select("row_id", "kfold", "label", tokens.tokenize(F.col("text")).alias("toks"))
-    return scoring.score_own_fold(f, "toks", model_weights(spark, d), binary_models=("presence",), keep=["label"],
+    f = folded_tokens(spark, d)
+    return scoring.score_own_fold(f, "toks", model_weights(spark, d, f), binary_models=("presence",), keep=["label"],
                                   weights_bound=2 * (VOCAB + 1) * K)
 
 
@@ -599,15 +606,10 @@ SELECT rule, CAST(fold AS BIGINT) AS fold, CAST(epoch AS BIGINT) AS epoch, CAST(
 FROM best WHERE rn = 1
 """)
 def q_best_checkpoint(spark, d):
-    log = validation_log(spark, d)
-    out = None
-    for rule in "abcd":
-        m = "accuracy" if rule == "c" else "loss"
-        b = metrics.best_checkpoint(log.withColumnRenamed(m, "metric"), rule, centre=500, radius=100)
-        b = b.select(F.lit(rule).alias("rule"), F.col("fold").cast("bigint"), F.col("epoch").cast("bigint"),
-                     F.col("step").cast("bigint"), r6(F.col("metric")).alias("metric"))
-        out = b if out is None else out.unionByName(b)
-    return out
+    rules = {rule: "accuracy" if rule == "c" else "loss" for rule in "abcd"}
+    b = metrics.best_checkpoints(validation_log(spark, d), rules, centre=500, radius=100)
+    return b.select("rule", F.col("fold").cast("bigint").alias("fold"), F.col("epoch").cast("bigint").alias("epoch"),
+                    F.col("step").cast("bigint").alias("step"), r6(F.col("metric")).alias("metric"))
 
 
 # ---------------------------------------------------------------- I: fold models and pseudo-label cycles (rows-only)
