@@ -102,3 +102,29 @@ def test_parities_bound_the_difference():
             m = min(len(x), len(y))
             x, y = (np.bitwise_xor.reduce(v.reshape(-1, m), axis=0) for v in (x, y))
             assert int(np.bitwise_count(x ^ y).sum()) <= differ
+
+
+def test_star_pairs_stream_over_batches():
+    """The pairs of a list don't depend on where its batches end, and are those of its first rows with all others."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    t = np.sort(rng.integers(0, 12, 90))
+    rows = {"t": t, "c": rng.permutation(90), "n": rng.integers(8, 12, 90), "pos": rng.integers(0, 2, 90), "comp": rng.integers(0, 60, 90)}
+    rows |= {b: rng.integers(-3, 3, 90) for b in jaccard_join.PARITY}
+    table = pa.table({k: pa.array(np.asarray(v, np.int64)) for k, v in rows.items()})
+    got = []
+    for size in (1, 2, 7, 90):
+        out = [r for b in jaccard_join._star_pairs(table.to_batches(max_chunksize=size)) for r in zip(*(c.to_pylist() for c in b.columns))]
+        got.append(sorted(out))
+    want = []
+    for x in range(90):
+        first = int(np.searchsorted(t, t[x]))
+        for h in range(first, min(first + jaccard_join.HUBS, x)):
+            n1, n2, p1, p2 = (int(rows[k][i]) for k in ("n", "pos") for i in (x, h))
+            differ = sum(bin((int(rows[b][x]) ^ int(rows[b][h])) & (1 << 64) - 1).count("1") for b in jaccard_join.PARITY)
+            if 4 * n1 >= 3 * n2 and 4 * n2 >= 3 * n1 and 7 * min(n1 - p1, n2 - p2) >= 3 * (n1 + n2) and rows["comp"][x] != rows["comp"][h] and 7 * differ <= n1 + n2:
+                a, b = sorted((int(rows["c"][x]), int(rows["c"][h])))
+                want.append((a, b, n1 + n2))
+    assert all(g == sorted(want) for g in got) and len(want) > 3

@@ -23,7 +23,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import small_batches
+from .shared import drop_caches, small_batches
 
 EDIT_SHARE = 0.05
 LEAST_CHARS = 20
@@ -150,6 +150,7 @@ def find_items(docs: DataFrame, items: DataFrame, edit_share: float = EDIT_SHARE
     out = None
     for block in item_blocks(items, block_bytes):
         def run(batches, block=block):
+            drop_caches()
             matcher = Matcher(block, edit_share)
             for batch in batches:
                 rows = [(k, *hit) for k, t in zip(batch["doc_id"].to_pylist(), batch["text"])
@@ -166,6 +167,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, edit_share: float = EDI
     small_batches(docs)
     for block in item_blocks(items, block_bytes):
         def run(batches, block=block):
+            drop_caches()
             matcher = Matcher(block, edit_share)
             for batch in batches:
                 yield batch.filter(pa.array([not (t.is_valid and matcher.hits(t.as_py())) for t in batch["text"]], pa.bool_()))

@@ -22,7 +22,7 @@ Lists of heavy shingles are salted, so a near copy in a third of all rows doesn'
 Defined results: null and empty texts have no shingles and link with nothing, component their own id; a text
 under ``WORDS`` words is one shingle; repeated rows are one class and each a row of the result; a class
 whose ids are all null has a null component; further columns are ignored; an empty table gives no rows. Shingles are
-63-bit hashes of their words, digests 128 bits (checked: two digests that agree in their first half only are an error).
+63-bit hashes of their words, digests 128 bits.
 """
 
 from __future__ import annotations
@@ -31,9 +31,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import materialize, small_batches
+from .shared import drop_caches, materialize, small_batches
 from .words import Words, mix, slices, text_bytes
 
 WORDS = 5
@@ -45,8 +46,9 @@ SALTS = 64
 STARS = 2
 HUBS = 3
 FRAGMENTS = 4
-BLOCK_SHINGLES = 4_000_000
+BLOCK_SHINGLES = 1_500_000
 WANTED_BROADCAST = 1_000_000  # rows of three 64-bit numbers: 24 MB; more of them are joined by a shuffle
+CLASHES = 10_000
 PARITY = ("b0", "b1", "b2", "b3")
 _TOP = np.uint64(1 << 63)
 
@@ -113,6 +115,7 @@ def long_parities(gram: np.ndarray, first: np.ndarray) -> pa.ListArray:
 
 
 def _sets(batches):
+    drop_caches()
     for batch in batches:
         for a, b in slices(batch["text"], READ_BYTES):
             part = batch.slice(a, b - a)
@@ -175,11 +178,12 @@ def index_prefix(n):
     return n - (6 * n + 6) // 7 + 1
 
 
-def _postings(heavy: np.ndarray, rank: np.ndarray):
+def _postings(heavy: np.ndarray, rank: np.ndarray, clash: np.ndarray):
     def run(batches):
         for _, gram, first in _sets(batches):
             n = np.diff(first)
-            c1, _ = digests(gram, first)
+            c1, c2 = digests(gram, first)
+            c1 = np.where(np.isin(c1, clash), c2, c1)
             _, one = np.unique(c1, return_index=True)
             live = np.zeros(len(n), dtype=bool)
             live[one] = True
@@ -246,18 +250,28 @@ STEP = 2_000_000
 
 
 def _overlaps(key, pairs: pa.Table, sets: pa.Table) -> pa.Table:
-    """Shingles that the members of each pair share in one fragment."""
-    if not pairs.num_rows or not sets.num_rows:
-        return PARTIAL.empty_table()
+    """Shingles that the members of each pair of a block share: the partial overlaps of the fragments, counted one after the other, and summed."""
+    total = np.zeros(pairs.num_rows, dtype=np.int64)
+    ab = [pairs["a"].to_numpy(), pairs["b"].to_numpy()]
+    for fragment in range(FRAGMENTS):
+        total += _partial(ab, sets.filter(pc.equal(sets["fragment"], fragment)))
+    some = total > 0
+    return pa.table([pa.array(ab[0][some]), pa.array(ab[1][some]), pa.array(total[some])], schema=PARTIAL)
+
+
+def _partial(ab: list[np.ndarray], sets: pa.Table) -> np.ndarray:
+    """Partial overlap of each pair, from the members' sets in one fragment."""
+    n_pairs = len(ab[0])
+    if not n_pairs or not sets.num_rows:
+        return np.zeros(n_pairs, dtype=np.int64)
     c, one = np.unique(sets["c"].to_numpy(), return_index=True)
     data, off = text_bytes(sets["keys"].combine_chunks().take(pa.array(one)))
     keys, off = data.view(np.uint64) if len(data) % 8 == 0 else data[:0], off // 8
     size = np.diff(off)
-    ab = [pairs["a"].to_numpy(), pairs["b"].to_numpy()]
     at = [np.minimum(np.searchsorted(c, x), len(c) - 1) for x in ab]
     both = (c[at[0]] == ab[0]) & (c[at[1]] == ab[1])
-    ab, at = [x[both] for x in ab], [x[both] for x in at]
-    shared = np.zeros(len(ab[0]), dtype=np.int64)
+    at = [x[both] for x in at]
+    shared = np.zeros(len(at[0]), dtype=np.int64)
     upto = np.concatenate(([0], np.cumsum(size[at[0]] + size[at[1]])))
     x = 0
     while x < len(shared):
@@ -274,8 +288,9 @@ def _overlaps(key, pairs: pa.Table, sets: pa.Table) -> pa.Table:
         twice = (value[1:] == value[:-1]) & (of[1:] == of[:-1])
         shared[x:y] = np.bincount(of[1:][twice], minlength=y - x)
         x = y
-    some = shared > 0
-    return pa.table([pa.array(ab[0][some]), pa.array(ab[1][some]), pa.array(shared[some])], schema=PARTIAL)
+    out = np.zeros(n_pairs, dtype=np.int64)
+    out[both] = shared
+    return out
 
 
 def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -304,14 +319,14 @@ def pair_sets(d: DataFrame, classes: DataFrame, pairs: DataFrame, n_pairs: int,
 def links(pairs: DataFrame, n_shingles: int, sets: DataFrame) -> DataFrame:
     """(u, v) of the candidate pairs (a, b, total) that link; ``total`` is the sum of their sizes, ``n_shingles`` of all totals."""
     blocks = max(1, math.ceil(n_shingles / BLOCK_SHINGLES))
-    # a hub's many pairs go to several blocks
-    p = pairs.withColumn("block", F.pmod(F.xxhash64("a", F.pmod("b", F.lit(16))), F.lit(blocks)).cast("int"))
+    # A class with more pairs than a block holds is cut into as many parts as its pairs need.
+    most = pairs.groupBy("a").agg(F.sum("total").alias("n")).agg(F.max("n")).head()[0]
+    parts = max(1, math.ceil(most / BLOCK_SHINGLES))
+    p = pairs.withColumn("block", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(parts))), F.lit(blocks)).cast("int"))
     need = p.select(F.col("block").alias("to_block"), F.explode(F.array("a", "b")).alias("c")).distinct()
-    fragment = F.explode(F.array(*[F.lit(i) for i in range(FRAGMENTS)])).alias("fragment")
-    left = p.select("block", "a", "b", fragment).groupBy("block", "fragment")
-    right = need.join(sets, "c").groupBy("to_block", "fragment")
-    partial = left.cogroup(right).applyInArrow(_overlaps, "a bigint, b bigint, overlap bigint")
-    total = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
+    left = p.select("block", "a", "b").groupBy("block")
+    right = need.join(sets, "c").groupBy("to_block")
+    total = left.cogroup(right).applyInArrow(_overlaps, "a bigint, b bigint, overlap bigint")
     return (total.join(pairs, ["a", "b"]).filter(7 * F.col("overlap") >= 3 * F.col("total"))
             .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
 
@@ -361,12 +376,58 @@ def _cond(x: str, y: str) -> Column:
 
 def star_pairs(lists: DataFrame, seed: int) -> DataFrame:
     """Every class of a list with the list's hubs, where they are in different components and may link. The hubs change with the
-    seed, so a class that is too far from one copy of its text meets others in the next round."""
+    seed, so a class that is too far from one copy of its text meets others in the next round.
+
+    A list is sorted by hashes of its classes, so its hubs come first and the others meet them as they stream by. Heavy lists, which go on in
+    several partitions, get their hubs by an aggregate."""
+    order = F.xxhash64("c", F.lit(HUBS * seed))
+    light = lists.filter("t >= 0").select("t", *MEMBER).repartition("t").sortWithinPartitions("t", order, "c")
+    return light.mapInArrow(_star_pairs, PAIR).unionAll(_heavy_star_pairs(lists.filter("t < 0"), seed)).distinct()
+
+
+PAIR = "a bigint, b bigint, total bigint"
+
+
+def _star_pairs(batches):
+    """Pairs of each row with the first ``HUBS`` rows of its list; the rows come list by list."""
+    hubs = None  # of the list that was open at the end of the last batch: its first rows, and how many there are
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [batch[x].to_numpy(zero_copy_only=False) for x in ("t", *MEMBER)]
+        cols = new if hubs is None else [np.concatenate((h, x)) for h, x in zip(hubs, new)]
+        t = cols[0]
+        begin = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+        size = np.diff(np.append(begin, len(t)))
+        place = np.arange(len(t)) - np.repeat(begin, size)
+        fresh = np.arange(len(t)) >= len(t) - len(new[0])  # a hub kept from before has met the other ones
+        col = dict(zip(("t", *MEMBER), cols))
+        for i in range(HUBS):
+            x = np.flatnonzero(fresh & (place > i))
+            h = np.repeat(begin, size)[x] + i
+            x, h = _linkable(col, x, h)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(col["c"][x], col["c"][h])), pa.array(np.maximum(col["c"][x], col["c"][h])),
+                                              pa.array(col["n"][x] + col["n"][h])], ["a", "b", "total"])
+        keep = slice(begin[-1], begin[-1] + HUBS)
+        hubs = [x[keep] for x in cols]
+
+
+def _linkable(col: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows that ``_cond`` keeps."""
+    n1, n2, p1, p2 = col["n"][x], col["n"][h], col["pos"][x], col["pos"][h]
+    ok = (4 * n1 >= 3 * n2) & (4 * n2 >= 3 * n1) & (7 * np.minimum(n1 - p1, n2 - p2) >= 3 * (n1 + n2)) & (col["comp"][x] != col["comp"][h])
+    x, h = x[ok], h[ok]
+    differ = sum(np.bitwise_count((col[b][x] ^ col[b][h]).view(np.uint64)).astype(np.int64) for b in PARITY)
+    ok = 7 * differ <= col["n"][x] + col["n"][h]
+    return x[ok], h[ok]
+
+
+def _heavy_star_pairs(lists: DataFrame, seed: int) -> DataFrame:
     member = F.struct(*MEMBER)
     hubs = lists.groupBy("t").agg(*[F.min_by(member, F.xxhash64("c", F.lit(HUBS * seed + i))).alias(f"hub{i}") for i in range(HUBS)])
     hub = hubs.select("t", F.explode(F.array_distinct(F.array(*[f"hub{i}" for i in range(HUBS)]))).alias("hub"))
     hub = hub.select("t", *[F.col(f"hub.{f}").alias(f"h{f}") for f in MEMBER])
-    return _named(lists, "x").join(hub, "t").filter(_cond("x", "h")).select(*_pairs("x", "h")).distinct()
+    return _named(lists, "x").join(hub, "t").filter(_cond("x", "h")).select(*_pairs("x", "h"))
 
 
 def cross_pairs(lists: DataFrame) -> DataFrame:
@@ -395,14 +456,21 @@ def link_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     order = np.argsort(t)
     t, rank = t[order], rank[order]
 
+    # A class is known by the first half of its digest; where different sets share that (a few among 1e11), by the second.
+    clash = np.sort(rows.groupBy("c1").agg(F.min("c2").alias("x"), F.max("c2").alias("y")).filter("x != y").select("c1")
+                    .limit(CLASHES + 1).toArrow()["c1"].to_numpy())
+    if len(clash) > CLASHES:
+        raise ValueError(f"more than {CLASHES} halves of digests are shared")
+    if len(clash):
+        rows = rows.withColumn("c1", F.when(F.col("c1").isin(clash.tolist()), F.col("c2")).otherwise(F.col("c1")))
     classes = materialize(rows.groupBy(F.col("c1").alias("c")).agg(
         F.min("doc_id").alias("least"), F.max(F.struct("doc_id", "digest")).alias("one"), *[F.min(b).alias(b) for b in PARITY], F.min("bits").alias("bits"),
         F.min("c2").alias("x"), F.max("c2").alias("y")), "jaccard-classes")
-    if classes.filter("x != y").limit(1).count():
-        raise ValueError("two different shingle sets share half of their digest")
+    if len(clash) and classes.filter("x != y").limit(1).count():
+        raise ValueError("two different shingle sets share their digest's halves crosswise")
 
     salt = F.when(F.col("t") < 0, F.pmod("c", F.lit(SALTS))).otherwise(F.lit(0))
-    postings = d.select("text").mapInArrow(_postings(t, rank), POSTING)
+    postings = d.select("text").mapInArrow(_postings(t, rank, clash), POSTING)
     lists = postings.repartition(F.col("t"), salt).sortWithinPartitions("t", "c").mapInArrow(_shared, POSTING)
     lists = lists.select("t", "c", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(0xFFFFFFFF).alias("pos"))
     lists = materialize(lists.join(classes.select("c", *PARITY), "c"), "jaccard-lists")

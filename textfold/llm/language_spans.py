@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import small_batches
+from .shared import drop_caches, small_batches
 from .words import slices
 
 FIT_DOCS = 4000
@@ -251,6 +251,7 @@ class Labeller:
 def label_languages(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, spans) of each row; ``spans`` are runs of words in one language."""
     def run(batches):
+        drop_caches()
         label = Labeller(model)
         for batch in batches:
             for a, b in slices(batch["text"], LABEL_BYTES):
@@ -268,6 +269,7 @@ def keep_languages(docs: DataFrame, model: Model, least_score: float) -> DataFra
     if not model.languages and not docs.isEmpty():
         raise ValueError("no language learned: no document outside the held-out ones has an id, a text and a lang")
     def run(batches):
+        drop_caches()
         label = Labeller(model)
         for batch in batches:
             for a, b in slices(batch["text"], LABEL_BYTES):

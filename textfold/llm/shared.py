@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table_path
@@ -33,3 +36,23 @@ def small_batches(df: DataFrame) -> DataFrame:
     if now <= 0 or now > TEXT_ROWS:
         df.sparkSession.conf.set(key, str(TEXT_ROWS))
     return df
+
+
+_caches: list[dict] = []
+
+
+def worker_cache() -> dict:
+    """A dict that a Python worker keeps from task to task, until another operator's tasks drop it."""
+    _caches.append({})
+    return _caches[-1]
+
+
+def drop_caches() -> None:
+    """Called in a task that needs the memory: other operators' caches go, and what was freed goes back to the system."""
+    for cache in _caches:
+        cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import small_batches
+from .shared import small_batches, worker_cache
 from .words import slices
 
 BATCH_BYTES = 4 << 20
@@ -27,7 +27,7 @@ MEMO_ENTRIES = 400_000
 MARK = "▁"  # the model's space mark; in a text it means a space
 PART = re.compile(r" +[^ ]+| +$")
 
-_counters: dict[str, "PartCounter"] = {}
+_counters: dict[str, "PartCounter"] = worker_cache()
 
 
 class PartCounter:
