@@ -327,3 +327,38 @@ def test_tree_matching():
     t = wrapper_extract.fold(a, b)
     assert {k[0][0]: (k[1], k[3]) for k in t[4]} == {"nav": (1, False), "h1": (2, False), "ul": (1, False), "p": (2, True),
                                                      "footer": (2, False)}
+
+
+def _tree(depth, side):
+    """Nested blocks with one sibling more on one side at every level."""
+    kids = [_tree(depth - 1, side)] if depth else []
+    own = [[("p", side, depth), 1, 0, False, []]] * (depth % 2 == side)
+    return [("div",), 1, 0, False, own + kids + [[("hr",), 1, depth, False, []]]]
+
+
+def _brute_weight(a, b):
+    """Every way to match the children in order."""
+    def best(x, y):
+        if not x or not y:
+            return 0
+        w = 1 + best(x[0][4], y[0][4]) + best(x[1:], y[1:]) if x[0][0] == y[0][0] else 0
+        return max(w, best(x[1:], y), best(x, y[1:]))
+    return 1 + best(a[4], b[4])
+
+
+def test_tree_matching_is_the_best_and_stays_fast():
+    import random
+    import time
+
+    rng = random.Random(4)
+
+    def tree(depth):
+        return [("n", rng.randrange(2)) if depth < 3 else ("r",), 1, 0, False, [tree(depth - 1) for _ in range(rng.randrange(4))] if depth else []]
+    for _ in range(60):
+        a, b = tree(3), tree(3)
+        assert wrapper_extract.weight(a, b) == _brute_weight(a, b)
+    began = time.time()
+    a, b = _tree(60, 0), _tree(60, 1)
+    assert wrapper_extract.weight(a, b) == 122
+    wrapper_extract.fold(a, b)
+    assert time.time() - began < 1
