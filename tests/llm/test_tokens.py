@@ -38,6 +38,24 @@ def test_token_ids_of_documents(spark, tokenizer):
     assert sorted(got) == brute.token_rows([tuple(r) for r in df.select("doc_id", "text").collect()], tokenizer)
 
 
+def test_runs_and_needed_rules():
+    for n in (1, 2, 3, 17, 100_000):
+        s = repair_output.Shard(repair_output.pack(np.arange(1), np.zeros(1), np.array([n]), np.full(n, 7, np.int32)))
+        assert (s.decode_documents(0, 1) == 7).all() and s.n_ids == n
+        assert n < 1000 or len(s.symbols) < 100  # a run halves every round
+    ids = np.tile(np.arange(50, dtype=np.int32), 200)
+    s = repair_output.Shard(repair_output.pack(np.arange(200), np.zeros(200), np.full(200, 50), ids))
+    assert len(s._needed(s.symbols[:0])) == 0 and len(s._needed(s.symbols[:1])) <= len(s.pairs)
+    rng = np.random.default_rng(5)
+    for _ in range(200):  # no two winners share a symbol, and the best pair always wins somewhere
+        at = np.flatnonzero(rng.random(60) < 0.7)
+        if len(at):
+            place = np.full(62, 9)
+            place[at + 1] = rng.integers(0, 4, len(at))
+            won = at[repair_output._winners(at, place)]
+            assert (np.diff(won) > 1).all() and place[won + 1].min() == place[at + 1].min()
+
+
 @pytest.mark.parametrize("n, kinds", [(1, 1), (5, 1), (4000, 2), (30_000, 40), (20_000, 60_000)])
 def test_grammar(n, kinds):
     rng = np.random.default_rng(n)

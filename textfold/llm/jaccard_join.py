@@ -306,6 +306,14 @@ def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return p.filter(7 * differ <= F.col("total")).select("a", "b", "total")
 
 
+def in_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The classes that are in a pair, found where they are if the pairs are few enough to send; else all."""
+    if 2 * pairs.count() > WANTED_BROADCAST:
+        return classes
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    return classes.join(F.broadcast(ids), "c", "left_semi")
+
+
 def pair_sets(d: DataFrame, classes: DataFrame, pairs: DataFrame, n_pairs: int, heavy: np.ndarray, rank: np.ndarray) -> DataFrame:
     """(c, fragment, keys) of the classes in ``pairs``, from the text of one document of each."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes, "c")
@@ -481,7 +489,8 @@ def link_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         else:
             of = stars.select(F.col("u").alias("c"), F.col("v").alias("m"))
             now = lists.join(of, "c", "left").withColumn("comp", F.coalesce("m", "c")).drop("m")
-        pairs = materialize(plausible(star_pairs(now, turn) if turn < STARS else cross_pairs(now), classes), "jaccard-pairs")
+        found = materialize(star_pairs(now, turn) if turn < STARS else cross_pairs(now), "jaccard-candidates")
+        pairs = materialize(plausible(found, in_pairs(found, classes)), "jaccard-pairs")
         n_pairs, n_shingles = pairs.agg(F.count("*"), F.sum("total")).head()
         if n_pairs:
             edges = links(pairs, n_shingles, pair_sets(d, classes, pairs, n_pairs, t, rank))

@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import scratch, small_batches
+from .shared import scratch, small_batches, worker_cache
 from .words import slices
 
 SHARD_IDS = 1 << 20
@@ -43,7 +43,7 @@ LARGEST_SHARE = 1 / 1000
 FALL = 8
 LEAST_GAIN = 0.02
 
-_encoders: dict[tuple, "PieceEncoder"] = {}
+_encoders: dict[tuple, "PieceEncoder"] = worker_cache()
 
 
 class PieceEncoder:
@@ -148,6 +148,19 @@ def encoder(path: str, end_id: int) -> PieceEncoder:
     return _encoders[path, end_id]
 
 
+def _winners(at: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which of the places ``at`` are replaced in a round, so that no two of them share a symbol: those whose pair ranks before the pairs that
+    overlap it. Of a run of one symbol, whose pairs are equal and overlap each other, every second place from the left."""
+    r = place[at + 1]
+    begins = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (r[1:] != r[:-1]))))
+    size = np.diff(np.concatenate((begins, [len(at)])))
+    ends = begins + size - 1
+    left = place[at[begins]] < r[begins]  # the pair that begins one symbol before ranks better: leave the first place
+    right = np.append(place, len(place))[at[ends] + 2] < r[ends]
+    offset = np.arange(len(at)) - np.repeat(begins, size) - np.repeat(left, size)
+    return (offset >= 0) & (offset % 2 == 0) & (np.arange(len(at)) <= np.repeat(ends - right, size))
+
+
 def compress(ids: np.ndarray, doc_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair of a shard: symbols, symbols of each document, rules (pairs), expansion length of each rule.
     Symbols from ``max(ids) + 1`` on are the rules."""
@@ -174,9 +187,7 @@ def compress(ids: np.ndarray, doc_sizes: np.ndarray) -> tuple[np.ndarray, np.nda
             at, which = at[keep], inverse[keep]
             place = np.full(len(seq) + 1, len(pair), dtype=np.int64)  # rank of the pair that begins there
             place[at + 1] = rank[which]
-            r = place[at + 1]
-            after = np.append(place[2:], len(pair))[at]
-            wins = (r < place[at]) & (r <= after)
+            wins = _winners(at, place)
             at, which = at[wins], which[wins]
             used = np.unique(which)
             number = np.zeros(len(pair), dtype=np.uint64)
@@ -238,40 +249,52 @@ class Shard:
         self.symbols = take(np.uint16, n).astype(np.int32)
         for k in range(16, bits):
             self.symbols |= np.unpackbits(take(np.uint8, (n + 7) // 8), count=n).astype(np.int32) << k
-        self._pool = self._begin = None
-
-    def _rules(self) -> None:
-        """Every rule written out, one after the other."""
-        end = np.cumsum(self.lengths.astype(np.int64))
-        self._begin = end - self.lengths
-        self._pool = np.empty(int(end[-1]) if len(end) else 0, dtype=np.int32)
-        pool, begin, size, first = self._pool, self._begin.tolist(), self.lengths.tolist(), self.first_rule
-        for i, pair in enumerate(self.pairs.tolist()):
-            at = begin[i]
+
+    def _needed(self, symbols: np.ndarray) -> np.ndarray:
+        """The rules that symbols are made of, in order: a rule's parts come before it."""
+        first, needed = self.first_rule, np.zeros(len(self.pairs), dtype=bool)
+        new = np.unique(symbols[symbols >= first]) - first
+        while len(new):
+            needed[new] = True
+            parts = np.unique(self.pairs[new])
+            parts = parts[parts >= first] - first
+            new = parts[~needed[parts]]
+        return np.flatnonzero(needed)
+
+    def _expanded(self, rules: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """These rules written out, one after the other, and where each begins."""
+        size = self.lengths.astype(np.int64)
+        end = np.cumsum(size[rules])
+        begin = np.zeros(len(self.pairs), dtype=np.int64)
+        begin[rules] = end - size[rules]
+        pool = np.empty(int(end[-1]) if len(end) else 0, dtype=np.int32)
+        at_of, size_of, first = begin.tolist(), size.tolist(), self.first_rule
+        for i, pair in zip(rules.tolist(), self.pairs[rules].tolist()):
+            at = at_of[i]
             for s in pair:
                 if s < first:
                     pool[at] = s
                     at += 1
                 else:
-                    x, n = begin[s - first], size[s - first]
+                    x, n = at_of[s - first], size_of[s - first]
                     pool[at:at + n] = pool[x:x + n]
                     at += n
+        return pool, begin
 
     def decode_documents(self, first: int, last: int) -> np.ndarray:
-        """The ids of documents ``first`` to ``last - 1`` of the shard, from their symbols alone."""
-        if self._pool is None:
-            self._rules()
+        """The ids of documents ``first`` to ``last - 1`` of the shard, from their symbols and the rules these need."""
         upto = np.concatenate(([0], np.cumsum(self.symbol_counts)))
         s = self.symbols[upto[first]:upto[last]]
         rule = s >= self.first_rule
         which = np.where(rule, s - self.first_rule, 0)
         if not rule.any():
             return s.copy()
+        pool, begin = self._expanded(self._needed(s))
         n = np.where(rule, self.lengths[which], 1).astype(np.int64)
         out = np.repeat(s, n)
         at = np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n)
         inner = np.repeat(rule, n)
-        out[inner] = self._pool[(np.repeat(self._begin[which], n) + at)[inner]]
+        out[inner] = pool[(np.repeat(begin[which], n) + at)[inner]]
         return out
 
 
