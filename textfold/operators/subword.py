@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..plans.partitioning import text_batches
+
 MAX_MERGES = 1_000_000
 MEMO_WORDS = 300_000
 NONE = np.int64(1) << 40  # the rank of an unknown pair
@@ -148,4 +150,4 @@ def encode_subword(df: DataFrame, text: str, merges: Merges, key: str = "row_id"
             yield pa.RecordBatch.from_arrays([batch[key], pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], [key, out])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, split_words(F.col(text)).alias("words")).mapInArrow(run, f"{key} {kind}, {out} array<int>")
+    return text_batches(df.select(key, split_words(F.col(text)).alias("words"))).mapInArrow(run, f"{key} {kind}, {out} array<int>")

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.partitioning import text_batches
+
 # open_model(bytes) gives predict(ids, lengths): padded ids [rows x longest] to scores [rows x outputs].
 Predict = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -104,4 +106,4 @@ def score_with(df: DataFrame, model: Shipped, open_model: Callable[[bytes], Pred
                                                   pa.array(scores.reshape(-1))], [key, "model", "fold", "logit"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, ids_col).mapInArrow(run, f"{key} {kind}, model string, fold int, logit double")
+    return text_batches(df.select(key, ids_col)).mapInArrow(run, f"{key} {kind}, model string, fold int, logit double")
