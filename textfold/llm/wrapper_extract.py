@@ -17,8 +17,8 @@ or main element is not dropped by its name, unless that names comments, related
 A page without article and main whose text is all in blocks so named keeps it.
 
 Siblings with one tag and class are one repeated node of the template, and digits in class names don't count, so a
-template stays as small as the host's layout is varied. Nodes seen on under ``RARE`` of a host's pages leave it when
-it has more than ``LARGE_TEMPLATE`` nodes; pages keep them as slots of their own.
+template stays as small as the host's layout is varied. It keeps every node, however rare; children are aligned among those whose
+tag and class both sides have.
 
 Defined results: null, empty and text-only pages (text: their text); a null or missing host is a host; unclosed, stray and
 crossing tags are repaired as browsers do for paragraphs, lists and tables; a tag or comment cut off at
@@ -42,8 +42,6 @@ from .shared import small_batches
 
 TEMPLATE_PAGES = 5
 TEMPLATE_SHARE = 0.5
-LARGE_TEMPLATE = 500
-RARE = 0.01
 DEEP = 60
 MEMO_TEMPLATES = 2000
 
@@ -252,6 +250,9 @@ def matched(a: list, b: list, known: dict) -> tuple[list[tuple[int, int]], int]:
         pairs = [(i, i) for i in range(len(ka))]
         total = 1 + sum(matched(x, y, known)[1] for x, y in zip(ka, kb))
     else:
+        in_a, in_b = {x[0] for x in ka}, {x[0] for x in kb}
+        at_a, at_b = ([i for i, x in enumerate(k) if x[0] in other] for k, other in ((ka, in_b), (kb, in_a)))
+        ka, kb = [ka[i] for i in at_a], [kb[j] for j in at_b]  # the others match nothing
         best = [[0] * (len(kb) + 1) for _ in range(len(ka) + 1)]
         for i, x in enumerate(ka):
             for j, y in enumerate(kb):
@@ -266,7 +267,7 @@ def matched(a: list, b: list, known: dict) -> tuple[list[tuple[int, int]], int]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                pairs.append((i, j))
+                pairs.append((at_a[i], at_b[j]))
         pairs.reverse()
     known[id(a), id(b)] = pairs, total, a, b  # the trees stay alive with their numbers
     return pairs, total
@@ -300,20 +301,6 @@ def fold(a: list, b: list, same_page: bool = False, known: dict | None = None) -
     return [a[0], pages, a[2], a[3] or b[3] or a[2] != b[2], kids]
 
 
-def size(t: list) -> int:
-    return 1 + sum(map(size, t[4]))
-
-
-def pruned(t: list) -> list:
-    if size(t) <= LARGE_TEMPLATE:
-        return t
-    least = RARE * t[1]
-
-    def keep(x):
-        return [*x[:4], [keep(k) for k in x[4] if k[1] >= least]]
-    return keep(t)
-
-
 def content_digest(root: Node) -> bytes:
     """A digest of the text in a page's articles, or in all of it without any."""
     text, open_ = [], articles(root)[::-1]
@@ -344,7 +331,7 @@ def _templates(batches):
     for batch in batches:
         for host, packed in zip(batch["host"].to_pylist(), batch["template"]):
             t = pickle.loads(zlib.decompress(packed.as_py()))
-            hosts[host] = pruned(fold(hosts[host], t)) if host in hosts else t
+            hosts[host] = fold(hosts[host], t) if host in hosts else t
             if len(hosts) > MEMO_TEMPLATES:
                 yield _packed(hosts)
                 hosts = {}
@@ -362,7 +349,7 @@ def _fold_host(table: pa.Table) -> pa.Table:
     whole = None
     for packed in table["template"]:
         t = pickle.loads(zlib.decompress(packed.as_py()))
-        whole = t if whole is None else pruned(fold(whole, t))
+        whole = t if whole is None else fold(whole, t)
     return pa.table([pa.array(table["host"].to_pylist()[:1], pa.string()), pa.array([zlib.compress(pickle.dumps(whole))], pa.binary())],
                     names=["host", "template"])
 
