@@ -16,7 +16,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -44,14 +46,21 @@ def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 def _runs(batch):
     """``(file, block, first row, end row)`` of the splits in a batch; lines of a split are next to each other."""
-    files, blocks = batch["file"], batch["block"].to_pylist()
-    codes = files.dictionary_encode()
-    codes = codes.indices.to_pylist()
-    at = 0
-    for i in range(1, len(blocks) + 1):
-        if i == len(blocks) or blocks[i] != blocks[at] or codes[i] != codes[at]:
-            yield files[at].as_py(), blocks[at], at, i
-            at = i
+    files, blocks = batch["file"], batch["block"].to_numpy()
+    codes = files.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(codes) != 0)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(blocks)]):
+        if b > a:
+            yield files[a].as_py(), int(blocks[a]), a, b
+
+
+def _after(zero: np.ndarray, one: np.ndarray, state: int) -> np.ndarray:
+    """The state after each line, from ``state``: that of the last line with one end for both states, turned by every line since that turns it."""
+    at = np.arange(len(zero))
+    fixed = np.maximum.accumulate(np.where(zero == one, at, -1))
+    turns = np.cumsum((zero == 1) & (one == 0))
+    known = fixed >= 0
+    return np.where(known, zero[fixed], state) ^ ((turns - np.where(known, turns[fixed], 0)) & 1)
 
 
 def _split_functions(batches):
@@ -59,24 +68,21 @@ def _split_functions(batches):
     isn't an empty line ends in it (in a file of LF lines, of CRLF lines); and if its first line ends with CR."""
     found: dict[tuple[str, int], list] = {}
     for batch in batches:
-        zero, one, line, empty, cr = (batch[c].to_pylist() for c in ("from_0", "from_1", "line", "empty", "cr"))
+        zero, one, line, empty = (batch[c].to_numpy() for c in ("from_0", "from_1", "line", "empty"))
         for file, block, a, b in _runs(batch):
-            s = found.setdefault((file, block), [0, 1, None, None, None, None, False, False, cr[a], False, False])
-            x, y = s[0], s[1]
-            for i in range(a, b):
-                x = one[i] if x else zero[i]
-                y = one[i] if y else zero[i]
-                s[9], s[10] = s[9] or empty[i] < 2, s[10] or not empty[i]
-                if not x:
-                    s[6], s[7] = s[9], s[10]
-                    s[3] = line[i]
-                    if s[2] is None:
-                        s[2] = line[i]
-                if not y:
-                    s[5] = line[i]
-                    if s[4] is None:
-                        s[4] = line[i]
-            s[0], s[1] = x, y
+            s = found.setdefault((file, block), [0, 1, None, None, None, None, False, False, batch["cr"][a].as_py(), False, False])
+            for first, state in ((2, 0), (4, 1)):
+                after = _after(zero[a:b], one[a:b], s[state])
+                s[state] = int(after[-1])
+                ends = np.flatnonzero(after == 0)
+                if len(ends):
+                    s[first + 1] = int(line[a + ends[-1]])
+                    if s[first] is None:
+                        s[first] = int(line[a + ends[0]])
+                    if not state:
+                        there = empty[a:a + ends[-1] + 1]
+                        s[6], s[7] = s[9] or bool((there < 2).any()), s[10] or bool((there == 0).any())
+            s[9], s[10] = s[9] or bool((empty[a:b] < 2).any()), s[10] or bool((empty[a:b] == 0).any())
     rows = [(*k, *v[:9]) for k, v in found.items()]
     names = ["file", "block", "to_0", "to_1", "first_0", "last_0", "first_1", "last_1", "solid", "solid_cr", "cr"]
     types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4, *[pa.bool_()] * 3]
@@ -119,25 +125,27 @@ def split_states(lines: DataFrame) -> DataFrame:
 
 def _records(batches):
     """Records that begin and end in one split; the lines begin outside quotes."""
-    where, state, number, open_ = None, 0, 0, []
+    where, state, number, open_ = None, 0, 0, None
     for batch in batches:
-        zero, one, header, values = (batch[c].to_pylist() for c in ("from_0", "from_1", "header", "value"))
-        out = []
+        zero, one, header, values = (*(batch[c].to_numpy() for c in ("from_0", "from_1", "header")), batch["value"])
         for file, block, a, b in _runs(batch):
             if (file, block) != where:
-                where, state, number, open_ = (file, block), 0, 0, []
-            for i in range(a, b):
-                state = one[i] if state else zero[i]
-                open_.append(values[i])
-                if not state:
-                    text = "\n".join(open_)
-                    open_ = []
-                    if text:
-                        out.append((file, block, number, text, header[i] == 1 and number == 0))
-                        number += 1
-        cols = zip(*out) if out else [[]] * 5
-        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["file", "block", "record_no", "text", "is_header"])
+                where, state, number, open_ = (file, block), 0, 0, values.slice(0, 0)
+            ends = np.flatnonzero(_after(zero[a:b], one[a:b], state) == 0) + 1
+            state = int(not len(ends) or ends[-1] < b - a)
+            lines = pa.concat_arrays([open_, values.slice(a, b - a)])
+            offsets = np.concatenate(([0], ends + len(open_))).astype(np.int32)
+            open_ = lines.slice(int(offsets[-1]))
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), lines.slice(0, int(offsets[-1]))), "\n")
+            text = text.filter(pc.not_equal(text, ""))
+            n = len(text)
+            if n:
+                first = np.zeros(n, bool)
+                first[0] = number == 0 and header[a] == 1
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(file, pa.string()), n), pa.repeat(pa.scalar(block, pa.int64()), n),
+                                                  pa.array(np.arange(number, number + n)), text, pa.array(first)],
+                                                 ["file", "block", "record_no", "text", "is_header"])
+                number += n
 
 
 def read_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
