@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textfold.operators import cycles, scoring, subword, tokens, user_model
+from textfold.operators import cycles, distill, scoring, subword, tokens, user_model
+from textfold.plans.partitioning import bucketed
 
 B = scoring.BIAS_TOKEN
 ROWS = [("a", ["x", "y", "x"], 1, 0), ("b", ["z", None, "?"], 0, 1), ("c", [], 1, 2), ("d", None, 0, None), ("a", ["y"], 1, 0), (None, ["x"], 0, 1)]
@@ -101,3 +102,39 @@ def test_token_pattern_in_both_forms(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     for r in df.select(F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), 0).alias("a"), F.regexp_extract_all("text", F.lit(FAST_TOKEN_PATTERN), 0).alias("b")).collect():
         assert r["a"] == r["b"]
+
+
+def test_predictions_with_rare_tokens_joined(spark):
+    """A model larger than the tasks may have: frequent tokens in place, the others joined; rows of one id stay apart."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(30)]
+    train = spark.createDataFrame([(f"t{i}", sorted({words[int(x * x * 30)] for x in rng.random(6)}), i % 3, int(rng.integers(-9000, 9000))) for i in range(50)],
+                                  "row_id string, toks array<string>, kfold int, target long")
+    rows = spark.createDataFrame([("a", ["w0", "w29", "new", None]), ("a", ["w1"]), ("b", []), ("c", None), (None, words)], "row_id string, toks array<string>")
+    model = distill.fit(distill._train_adds(train, 3, 1), 3)
+    n = model.tokens.count()
+    want = sorted(map(str, distill.predict(rows, model).collect()))
+    for most in (0, 1, n // 2, n - 1, n):
+        local, others = distill._split(model.tokens, most)
+        assert local.num_rows <= most and local.num_rows + (others.count() if others else 0) == n
+        assert sorted(map(str, distill.predict(rows, model, most).collect())) == want
+    often = {r["token"]: r["n"] for r in model.tokens.collect()}
+    local, others = distill._split(model.tokens, n // 2)
+    assert 0 < local.num_rows and min(often[t] for t in local["token"].to_pylist()) > max(often[r["token"]] for r in others.collect())
+
+
+def test_labels_meet_rows_in_buckets(spark):
+    """Rows in buckets of their id aren't shuffled for their labels, nor the training rows summed again for a student."""
+    extra = bucketed(spark.createDataFrame([("x1", ["a", "b"]), ("x2", ["b"]), ("x2", ["c"])], "row_id string, toks array<string>"), "row_id", "test_rows")
+    train = spark.createDataFrame([("t1", ["a"], 0, 9), ("t2", ["a", "c"], 1, -5)], "row_id string, toks array<string>, kfold int, target long")
+    labels = spark.createDataFrame([("x1", [3, None]), ("x2", [4, 5])], "row_id string, t array<bigint>")
+    adds = distill._pseudo_adds(extra, labels, 2)
+    plan = adds._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Sort [" not in plan
+    teacher = distill.fit(distill._train_adds(train, 2, 1), 2)
+    student = distill.fold_wise_student(teacher.sums, extra, labels, 2, 3)
+    assert {r["token"]: r["v"] for r in student.tokens.collect()} == {"a": [-3, 9], "b": [3, 5], "c": [-2, 5]}  # towards zero
+    assert student.base.first()["v"] == [0, 7]
+    single = distill.single_student(extra, labels, 2)
+    both = distill.continued(teacher.sums, single, 2, 3)
+    assert {r["token"]: r["v"] for r in both.tokens.collect()} == {"a": [-5, 9], "b": [4, 4], "c": [-2, 4]}

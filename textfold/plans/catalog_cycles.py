@@ -12,6 +12,7 @@ from ..operators import distill, filters, folds, scoring, tokens
 from ..session import table_path
 from .catalog import K, SEED, SQL_LABELLED, SQL_PAIRS, docs, folded, labelled, pairs, query, sql_folds, stored, table
 from .ordering import ordered_prefix
+from .partitioning import bucketed
 
 TIMES = 3
 
@@ -22,14 +23,22 @@ def fresh(spark, name: str) -> str:
 
 # ---------------------------------------------------------------- regression cycles: target n_chars, in thousandths
 
-def _cycle_rows(spark, d) -> tuple[DataFrame, DataFrame]:
-    toks = F.array_distinct(tokens.tokenize(F.col("text"))).alias("toks")
-    lab = stored(labelled(spark, d).select("row_id", "n_chars", toks), "cycle-labelled")
+def _cycle_rows(spark, d, train_by_row: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Training and extra rows from one table of all documents' tokens, in buckets of ``row_id``: labels and folds come to it, texts are shuffled once.
+    ``train_by_row``: the training rows in buckets too."""
+    key = F.col("doc_id").cast("string").alias("row_id")
+    texts = spark.read.parquet(f"{d}/documents.parquet").select(key, "n_chars", "text")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = texts.repartition(n, "row_id").select("row_id", "n_chars", F.md5("text").alias("digest"), F.array_distinct(tokens.tokenize(F.col("text"))).alias("toks"))
+    rows = bucketed(rows, "row_id", "cycle_rows")
+    labels = table(spark, d, "labels").select(key, F.col("quality").alias("label"))
+    lab = rows.join(labels.hint("shuffle_hash"), "row_id")
+    first = lab.groupBy("digest", "label").agg(F.min("row_id").alias("row_id")).select("row_id")  # as in ``labelled``
+    lab = lab.join(first.hint("shuffle_hash"), "row_id", "left_semi").select("row_id", "n_chars", "toks")
     f = folds.assign_folds_regression(lab, "n_chars", k=K, seed=SEED)
     train = f.select("row_id", "toks", "kfold", (F.col("n_chars") * 1000).cast("bigint").alias("target"))
-    named = table(spark, d, "labels").select("doc_id")
-    extra = docs(spark, d).join(named, "doc_id", "left_anti").select("row_id", toks)
-    return stored(train, "cycle-train"), stored(extra, "cycle-extra")
+    extra = rows.join(labels.select("row_id").hint("shuffle_hash"), "row_id", "left_anti").select("row_id", "toks")
+    return bucketed(train, "row_id", "cycle_train") if train_by_row else stored(train, "cycle-train"), extra
 
 
 SQL_CYCLE_ROWS = f"""
@@ -109,7 +118,7 @@ def q_pseudo_cycle_reg(spark, d):
     train, extra = _cycle_rows(spark, d)
     teacher = distill.fit(distill._train_adds(train, K, 1), K, fresh(spark, "teacher"))
     labels = distill.teach(extra, [teacher])
-    student = distill.fold_wise_student(train, extra, labels, K, TIMES)
+    student = distill.fold_wise_student(teacher.sums, extra, labels, K, TIMES, fresh(spark, "student"))
     both = [distill.validate(train, m, True).select(F.lit(i).alias("cycle"), F.lit("folds").alias("stage"), "fold", "n_rows", "rmse")
             for i, m in enumerate((teacher, student))]
     return _rmse_row(both[0].unionByName(both[1]))
@@ -153,7 +162,7 @@ w0_b AS (SELECT CAST(i AS BIGINT) AS fold, v FROM g1_b, range({K}) r(i)),
 {' UNION ALL '.join(_sql_epoch(e) for e in range(WARM_EPOCHS + 1))}""")
 def q_warm_start_reg(spark, d):
     """Fold models that go on from the single student's weights; RMSE of each fold's rows before and after each epoch."""
-    train, extra = _cycle_rows(spark, d)
+    train, extra = _cycle_rows(spark, d, train_by_row=True)
     teacher = distill.fit(distill._train_adds(train, K, 1), K, fresh(spark, "teacher"))
     single = distill.single_student(extra, distill.teach(extra, [teacher]), K, fresh(spark, "single"))
     models = distill.warm_start(train, single, K, WARM_EPOCHS, fresh(spark, "warm"))
