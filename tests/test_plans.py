@@ -94,3 +94,21 @@ def test_out_of_fold_scoring_reads_one_fold(spark):
     own = {(r.row_id, r.fold): r.logit_milli for r in scoring.score_own_fold(rows, "toks", w).collect()}
     all_ = {(r.row_id, r.fold): r.logit_milli for r in scoring.score_models(rows, "toks", w).collect()}
     assert own == {("a", 2): 62, ("b", 1): 10} and own.items() <= all_.items() and len(all_) == 6
+
+
+def test_labelled_texts_meet_their_labels_once(spark, tmp_path):
+    """Texts and labels that come twice or are null; a text is in one join only, that of the labels to keep."""
+    from textfold.plans import catalog
+
+    docs = [(1, "x", "en", "s", 1), (10, "x", "en", "s", 1), (2, "x", "en", "s", 1), (2, "x", "en", "s", 1), (3, None, "en", "s", 0), (4, "y", None, None, None), (None, "y", "en", "s", 1)]
+    labels = [(1, 0, 0), (10, 1, 0), (2, 0, 1), (2, 1, 1), (3, 0, 0), (3, 0, 0), (4, None, 0), (5, 1, 1), (None, 1, 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    lab = catalog.labelled(spark, str(tmp_path))
+    assert lab.columns == ["doc_id", "text", "lang", "source", "n_chars", "row_id", "label", "toxic"]
+    # of text x, label 0 has 1 and 2 and label 1 has 10 and 2: the smallest ids as strings are 1 and 10
+    assert sorted((r["doc_id"], r["text"], r["label"]) for r in lab.collect()) == [(1, "x", 0), (3, None, 0), (3, None, 0), (4, "y", None), (10, "x", 1)]
+    plan = lab._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    semi = next(i for i, line in enumerate(lines) if "Join LeftSemi" in line)
+    assert "text#" not in lines[semi + 1]  # the labels are cut down, not the texts joined again
