@@ -138,3 +138,17 @@ def test_labels_meet_rows_in_buckets(spark):
     single = distill.single_student(extra, labels, 2)
     both = distill.continued(teacher.sums, single, 2, 3)
     assert {r["token"]: r["v"] for r in both.tokens.collect()} == {"a": [-5, 9], "b": [4, 4], "c": [-2, 4]}
+
+
+def test_fold_models_read_rows_made_once(spark):
+    """The predictions read the written features; tokens are not made again for every fold."""
+    from pyspark.sql import functions as F
+
+    from textfold.operators import cycles
+
+    rows = spark.createDataFrame([(f"r{i}", i % 3, i % 2, f"{'good' if i % 2 else 'bad'} w{i % 7}") for i in range(42)], "row_id string, kfold int, label int, text string")
+    p = cycles.fit_folds(rows.withColumn("toks", F.split("text", " ")), "toks", "label", k=3, num_features=64, max_iter=3)
+    plan = p._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and plan.count("parquet") == 3  # each fold's own rows, as written
+    got = {r["row_id"]: r for r in p.collect()}
+    assert len(got) == 42 and all(r["fold"] == int(k[1:]) % 3 and (r["logit"] > 0) == bool(int(k[1:]) % 2) for k, r in got.items())
