@@ -105,7 +105,7 @@ def test_labelled_texts_meet_their_labels_once(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     lab = catalog.labelled(spark, str(tmp_path))
-    assert lab.columns == ["doc_id", "text", "lang", "source", "n_chars", "row_id", "label", "toxic"]
+    assert lab.columns == ["row_id", "doc_id", "text", "lang", "source", "n_chars", "label", "toxic"]
     # of text x, label 0 has 1 and 2 and label 1 has 10 and 2: the smallest ids as strings are 1 and 10
     assert sorted((r["doc_id"], r["text"], r["label"]) for r in lab.collect()) == [(1, "x", 0), (3, None, 0), (3, None, 0), (4, "y", None), (10, "x", 1)]
     plan = lab._jdf.queryExecution().optimizedPlan().toString()
